@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .ngrams import frequencies
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(1)
-        rec = np.asarray(pa.compute.list_parent_indices(lists)).astype(np.int64)
+        rec = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
         flat = lists.flatten()
         if flat.null_count:
             ok = np.asarray(flat.is_valid())

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def _counter(max_n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(0)
-            rec = np.asarray(lists.value_parent_indices() if hasattr(lists, "value_parent_indices") else pa.compute.list_parent_indices(lists))
+            rec = np.asarray(pc.list_parent_indices(lists))
             flat = lists.flatten()
             if flat.null_count:
                 ok = np.asarray(flat.is_valid())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import distinctive, ngrams, percentile
+from . import bpe, distinctive, lookalike, mixing, neardup, ngrams, percentile
 from .oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,18 @@ def p1_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.top_terms(table(spark, sf_dir, "entities")).select("id", "rank", "term", F.round("score", 6).alias("score"))
 
 
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of live text records of different documents with nearly the same content."""
+    return neardup.near_duplicates(table(spark, sf_dir, "entities"))
+
+
+@query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class, group and number of links of each live text record."""
+    return neardup.near_groups(table(spark, sf_dir, "entities"))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate among the first three by each score."""
@@ -64,3 +76,46 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences and records of every term and tag."""
     return ngrams.value_frequencies(table(spark, sf_dir, "entities"))
+
+
+@query
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document decoded from its ids."""
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in the mixture, with its shard and place."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached."""
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.mixture_report(mixing.mix(table(spark, sf_dir, "documents"), targets), targets)
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose texts differ but look the same."""
+    return lookalike.look_pairs(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of each text."""
+    return lookalike.canonical(table(spark, sf_dir, "documents"))
+
+
+@query
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of texts that look the same, for each document."""
+    return lookalike.look_classes(table(spark, sf_dir, "documents"))
