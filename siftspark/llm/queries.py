@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, distinctive, lookalike, mixing, neardup, ngrams, percentile
+from . import bpe, distinctive, forest, lookalike, mixing, neardup, ngrams, peaks, percentile
 from .oracle import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,20 @@ def p1_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.top_terms(table(spark, sf_dir, "entities")).select("id", "rank", "term", F.round("score", 6).alias("score"))
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the groups that all records confirm."""
+    members, _ = peaks.checked_groups(forest.vector_table(table(spark, sf_dir, "entities")))
+    return members.where("sound").select("id", "group_id")
+
+
+@query
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical members of each group."""
+    members, _ = peaks.checked_groups(forest.vector_table(table(spark, sf_dir, "entities")))
+    return peaks.typical(members)
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of live text records of different documents with nearly the same content."""
@@ -66,6 +80,19 @@ def p5_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentile.ranked(table(spark, sf_dir, "fused")).select("qid", "id", "position", "score")
 
 
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a cosine of at least 0.955, one among the five nearest of the other."""
+    return forest.close_pairs(forest.vector_table(table(spark, sf_dir, "entities")), 0.955)
+
+
+@query
+def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every record whose id is divisible by 20, among all records."""
+    vectors = forest.vector_table(table(spark, sf_dir, "entities"))
+    return forest.nearest(vectors, 5, most=2048, short=512, every=20).withColumn("cosine", F.round("cosine", 6))
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and tags in one record only, or in more than a quarter of all."""
