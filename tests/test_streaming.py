@@ -1,4 +1,5 @@
 import json
+import time
 
 from siftspark.schema import OPLOG
 from siftspark.streaming import ingest
@@ -30,7 +31,13 @@ def drain(spark, stream, name, ck, mode="append"):
 def test_sealing(spark, tmp_path):
     src = str(tmp_path / "src")
     append(spark, src, rows(10))
-    got = drain(spark, ingest.seal_stream(ingest.log_stream(spark, src), max_rows=4), "sealed", str(tmp_path / "ck"))
+    q = ingest.seal_stream(ingest.log_stream(spark, src), max_rows=4).writeStream.format("memory").queryName("sealed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    got = []
+    until = time.time() + 90
+    while len(got) < 2 and time.time() < until and q.isActive:  # a query with timeouts never says that it is done
+        time.sleep(1)
+        got = spark.table("sealed").collect()
+    q.stop()
     assert sorted((r.segment, r.rows, r.reason) for r in got) == [(0, 4, "max_rows"), (1, 4, "max_rows")]
 
 
