@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,7 @@ def percentile_ranks(long: DataFrame, rows_per_part: int = 1_000_000) -> DataFra
         cuts = min(512, -(-rows // rows_per_part) * 2)
         by_name = {r["name"]: r["q"] for r in long.groupBy("name").agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10_000).alias("q")).collect()}
         for name, q in by_name.items():  # one row for each kind of score
+            q = sorted({x for x in q or [] if math.isfinite(x)})
             for_name = F.expr(f"aggregate(array({','.join(f'double({x!r})' for x in q)}), 0, (a, x) -> a + if(v > x, 1, 0))") if q else F.lit(0)
             part = F.when(F.col("name") == name, F.coalesce(for_name, F.lit(-1))).otherwise(part)
     counts = counts.withColumn("part", part)
