@@ -29,30 +29,43 @@ def fnv1a64(words: list[bytes]) -> np.ndarray:
     return h
 
 
-def embed_texts(texts: list[str | None], dim: int) -> np.ndarray:
+def _gram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash of "g:" and the gram) of every run of three characters."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    chars = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = np.maximum(chars - 2, 0)
+    if not n.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first = np.arange(n.sum()) + np.repeat((np.cumsum(chars) - chars) - (np.cumsum(n) - n), n)
+    at = np.append(lead, len(data))
+    start, size = at[first], at[first + 3] - at[first]
+    h = np.full(len(first), fnv1a64([b"g:"])[0], np.uint64)
+    for k in range(int(size.max())):
+        own = np.flatnonzero(size > k)
+        h[own] = (h[own] ^ data[start[own] + k].astype(np.uint64)) * np.uint64(FNV_PRIME)
+    return np.repeat(np.arange(len(texts)), n), h
+
+
+def embed_texts(texts: list[str | None], dim: int, block: int = 2000) -> np.ndarray:
     """One unit vector a text; an empty or null text is the first axis."""
+    if len(texts) > block:
+        return np.concatenate([embed_texts(texts[i : i + block], dim) for i in range(0, len(texts), block)])
     run = _tokenizer()
+    given = [x or "" for x in texts]
+    tokens = [tokenize_text(x, run) for x in given]
     index: dict[str, int] = {}
-    row, feat, weight = [], [], []
-
-    def add(r: int, name: str, w: float) -> None:
-        row.append(r)
-        feat.append(index.setdefault(name, len(index)))
-        weight.append(w)
-
-    for r, x in enumerate(texts):
-        if not x:
-            continue
-        for t, _, _ in tokenize_text(x, run):
-            add(r, "t:" + t, TERM_WEIGHT)
-        for i in range(len(x) - 2):
-            add(r, "g:" + x[i : i + 3], GRAM_WEIGHT)
-        if len(x) < 3:
-            add(r, "raw:" + x, SHORT_WEIGHT)
+    feat = np.array([index.setdefault("t:" + t, len(index)) for own in tokens for t, _, _ in own], np.int64)
+    row = np.repeat(np.arange(len(given)), [len(own) for own in tokens])
+    hashes = fnv1a64([k.encode() for k in index])[feat] if len(feat) else np.zeros(0, np.uint64)
+    short = [i for i, x in enumerate(given) if 0 < len(x) < 3]
+    gram_row, gram_hash = _gram_hashes(given)
+    r = np.concatenate([row, gram_row, np.array(short, np.int64)])
+    v = np.concatenate([hashes, gram_hash, fnv1a64([("raw:" + given[i]).encode() for i in short])])
+    w = np.concatenate([np.full(len(row), TERM_WEIGHT), np.full(len(gram_row), GRAM_WEIGHT), np.full(len(short), SHORT_WEIGHT)])
     out = np.zeros((len(texts), dim))
-    if row:
-        v = fnv1a64([k.encode() for k in index])[np.array(feat)]
-        r, w = np.array(row), np.array(weight)
+    if len(r):
         w = np.where(v & np.uint64(1), -w, w)
         i = (v % np.uint64(dim)).astype(np.int64)
         j = ((v >> np.uint64(17)) % np.uint64(dim)).astype(np.int64)

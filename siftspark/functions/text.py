@@ -20,7 +20,6 @@ STOPWORDS = (
 TERMINATORS = "。！？\n.!?"
 
 _CJK_JAVA = r"\p{IsHan}぀-ヿ㐀-䶿"
-_RUN = rf"[A-Za-z0-9]+|[{_CJK_JAVA}]+"
 _SENTENCE = rf"[^{TERMINATORS}]*[{TERMINATORS}]|[^{TERMINATORS}]+"
 
 TOKENS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -56,15 +55,27 @@ def chunk_table(df: DataFrame, id_col: str, text_col: str, size: int = 480, over
     return cut.select(id_col, F.explode(F.when(F.size("_c") > 0, pieces)).alias("p")).select(id_col, "p.*")
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def terms(text: Column) -> Column:
     """The terms of a text in order, repeated: ASCII words in lower case; each CJK character and pair of neighbours.
 
     Everything else separates. Stop words are left out. Null gives null, an empty text an empty array.
     """
-    runs = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
-    pair = lambda r, i: F.when(i < F.length(r), F.array(F.substring(r, i, F.lit(1)), F.substring(r, i, F.lit(2)))).otherwise(F.array(F.substring(r, i, F.lit(1))))
-    each = lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.array(F.lower(r))).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: pair(r, i))))
-    return F.filter(F.flatten(F.transform(runs, each)), lambda t: ~t.isin(*STOPWORDS))
+    low = F.translate(text, _UPPER, _LOWER)  # ASCII only: lower() would make words of other letters
+    pattern = F.lit(rf"[a-z0-9]+|(?=([{_CJK_JAVA}]{{1,2}}))[{_CJK_JAVA}]")
+    one, two = F.regexp_extract_all(low, pattern, F.lit(0)), F.regexp_extract_all(low, pattern, F.lit(1))
+    both = F.flatten(F.zip_with(one, two, lambda x, y: F.when(F.length(y) > F.length(x), F.array(x, y)).otherwise(F.array(x))))
+    return F.filter(both, lambda t: ~t.isin(*STOPWORDS))
+
+
+def term_bag(text: Column) -> Column:
+    """The same terms as terms(), first words and characters, then pairs: cheaper where the order says nothing."""
+    low = F.translate(text, _UPPER, _LOWER)
+    one = F.regexp_extract_all(low, F.lit(rf"[a-z0-9]+|[{_CJK_JAVA}]"), F.lit(0))
+    two = F.regexp_extract_all(low, F.lit(rf"(?=([{_CJK_JAVA}]{{2}}))[{_CJK_JAVA}]"), F.lit(1))
+    return F.filter(F.concat(one, two), lambda t: ~t.isin(*STOPWORDS))
 
 
 def distinct_terms(text: Column) -> Column:

@@ -29,7 +29,9 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    return F.when(norm(a) == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / norm(a)))
+    # The length is bound once, as the only element of an array; a transform would take it anew for each coordinate.
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n)))
+    return F.element_at(scaled, 1)
 
 
 def distance(a: Column, b: Column, metric: str = "cosine") -> Column:

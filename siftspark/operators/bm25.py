@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import distinct_terms, terms
+from ..functions.text import distinct_terms, term_bag
+from .knn import first_k
 from .live import top_k
 
 K1, B = 1.5, 0.75
@@ -13,7 +19,7 @@ K1, B = 1.5, 0.75
 
 def document_terms(df: DataFrame, id_col: str, text: Column) -> DataFrame:
     """id, ts (terms) of every row, also of rows without terms."""
-    return df.select(F.col(id_col).alias("id"), F.coalesce(terms(text), F.array().cast("array<string>")).alias("ts"))
+    return df.select(F.col(id_col).alias("id"), F.coalesce(term_bag(text), F.array().cast("array<string>")).alias("ts"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -61,7 +67,77 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, deleted: DataFrame | None =
     return asked.join(scored, "term").groupBy("qid", "id").agg(F.sum("s").alias("score"))
 
 
-def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, **kw) -> DataFrame:
-    """(qid, id, score, rank): the k best documents of each query by score (to ``digits``), ties by id; k <= 0 means 10."""
-    scores = bm25_scores(docs, queries, **kw).withColumn("score", F.round("score", digits))
-    return top_k(scores, ["qid"], [F.desc("score"), F.asc("id")], k if k > 0 else 10)
+QUERY_BLOCK = 2048  # queries scored at a time
+DOC_BLOCK = 1024
+
+
+def bm25_top_k(
+    docs: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, deleted: DataFrame | None = None, stats_include_deleted: bool = True, k1: float = K1, b: float = B
+) -> DataFrame:
+    """(qid, id, score, rank): the k best documents of each query by score (to ``digits``), ties by id; k <= 0 means 10.
+
+    The scores are those of bm25_scores(). There, every pair of a query and a document with a common term is a
+    row; here a task scores its documents against all queries in blocks and sends the k best of each query on.
+    The driver holds the stated queries' terms and their document frequencies, in blocks of QUERY_BLOCK queries.
+    """
+    spark = docs.sparkSession
+    k = k if k > 0 else 10
+    alive = docs if deleted is None else docs.join(deleted.select("id").distinct(), "id", "left_anti")
+    n, avgdl = corpus_stats(docs if stats_include_deleted else alive).first()
+    asked = queries.where("qid is not null").select("qid", F.explode(distinct_terms(F.col("query"))).alias("term"))
+    df = alive.select(F.explode(F.array_distinct("ts")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").count()
+    known = {r["term"]: float(np.log((n - r["count"] + 0.5) / (r["count"] + 0.5) + 1)) for r in df.collect()}  # of asked terms
+    by_query: dict[int, set[str]] = {}
+    for r in asked.collect():
+        if r["term"] in known:
+            by_query.setdefault(r["qid"], set()).add(r["term"])
+    qids = sorted(by_query)
+    out = None
+    for lo in range(0, max(1, len(qids)), QUERY_BLOCK):
+        own = qids[lo : lo + QUERY_BLOCK]
+        words = sorted({t for q in own for t in by_query[q]})
+        at = {t: i for i, t in enumerate(words)}
+        pairs = sorted((at[t], i) for i, q in enumerate(own) for t in by_query[q])
+        shared = spark.sparkContext.broadcast(
+            (np.array(own, np.int64), words, np.array([known[t] for t in words]), np.bincount([p[0] for p in pairs], minlength=len(words)), np.array([p[1] for p in pairs], np.int64))
+        )
+        part = alive.select(F.col("id").cast("long").alias("id"), "ts").mapInArrow(_score(shared, k, digits, avgdl, k1, b), "qid long, id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, ["qid"], [F.desc("score"), F.asc("id")], k)
+
+
+def _score(shared, k: int, digits: int, avgdl: float, k1: float, b: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, words, weights, fan, of = shared.value
+        if not len(qids):
+            return
+        known = pa.array(words, pa.string())
+        begin = np.cumsum(fan) - fan
+        best_s, best_i = np.full((len(qids), 0), np.inf), np.zeros((len(qids), 0), np.int64)  # scores negated: smaller is better
+        for whole in batches:
+            for lo in range(0, whole.num_rows, DOC_BLOCK):
+                part = whole.slice(lo, DOC_BLOCK)
+                ids, lists = np.asarray(part.column(0)), part.column(1)
+                code = pc.index_in(lists.flatten(), value_set=known)
+                doc = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
+                dl = np.bincount(doc, minlength=len(ids))
+                hit = np.asarray(code.is_valid())
+                key, tf = np.unique(doc[hit] * len(words) + np.asarray(code.drop_null()).astype(np.int64), return_counts=True)
+                if not len(key):
+                    continue
+                d, t = key // len(words), key % len(words)
+                w = weights[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[d] / avgdl))
+                many = fan[t]
+                q = of[np.arange(many.sum()) + np.repeat(begin[t] - (np.cumsum(many) - many), many)]
+                score = np.bincount(q * len(ids) + np.repeat(d, many), np.repeat(w, many), len(qids) * len(ids)).reshape(len(qids), len(ids))
+                s = np.concatenate([best_s, np.where(score > 0, -np.round(score, digits), np.inf)], axis=1)
+                i = np.concatenate([best_i, np.broadcast_to(ids, score.shape)], axis=1)
+                if s.shape[1] > k:
+                    top = first_k(s, i, k)
+                    s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+                best_s, best_i = s, i
+        q, j = np.nonzero(np.isfinite(best_s))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(best_i[q, j]), pa.array(-best_s[q, j])], names=["qid", "id", "score"])
+
+    return run

@@ -50,7 +50,7 @@ def _scan(shared, k: int, digits: int):
                 d = np.concatenate([best_d, d], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
                 if d.shape[1] > k:
-                    top = np.lexsort((i, d), axis=1)[:, :k] if d.shape[1] <= 4 * k else _first(d, i, k)
+                    top = first_k(d, i, k)
                     d, i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
                 best_d, best_i = d, i
         m = best_d.shape[1]
@@ -60,14 +60,16 @@ def _scan(shared, k: int, digits: int):
     return run
 
 
-def _first(d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
+def first_k(d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest of each row by (d, i)."""
-    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(d), k), np.int64)
-    for r in range(len(d)):
+    top = np.argpartition(d, k - 1, axis=1)[:, :k]
+    edge = np.take_along_axis(d, top, 1).max(axis=1)
+    # Where more than k share the edge's value, the smaller i decide.
+    tied = np.flatnonzero(((d <= edge[:, None]).sum(axis=1) > k) & np.isfinite(edge))
+    for r in tied:
         c = np.flatnonzero(d[r] <= edge[r])
-        out[r] = c[np.lexsort((i[r, c], d[r, c]))[:k]]
-    return out
+        top[r] = c[np.lexsort((i[r, c], d[r, c]))[:k]]
+    return top
 
 
 def flat_top_k(queries: DataFrame, entities: DataFrame, k: int = 10, metric: str = "cosine", dim: int | None = None, digits: int = 6) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embed, text, vector as V
 from ..operators import bm25, changefeed, cost, filters, fusion, hnsw, knn, live, rag, search, segments, stats
+from ..session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIM = 64  # of the test tables' vectors
@@ -20,7 +21,13 @@ def query(f):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files give fewer partitions than there are; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 FIELDS = ["collection", "modality", "content", "caption", "tags", "scalar", "doc_id", "source_ref", "content_hash"]
@@ -194,7 +201,7 @@ def flat_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def flat_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each request the nearest live entities to the entity of its number, by the request's metric."""
-    ents = current(spark, sf_dir, [unit_vector()]).where("not deleted and vector is not null")
+    ents = scratch(current(spark, sf_dir, [unit_vector()]).where("not deleted and vector is not null"), "vectors")
     q = table(spark, sf_dir, "requests").select(F.col("qid").alias("id"), "metric").join(ents, "id").select(F.col("id").alias("qid"), "vector", "metric")
     return knn.flat_top_k(q, ents, 10, dim=DIM)
 
@@ -216,7 +223,7 @@ def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(ents: DataFrame) -> DataFrame:
-    return bm25.document_terms(ents, "id", text.search_text(F.col("content"), F.col("caption"), F.col("tags")))
+    return scratch(bm25.document_terms(ents, "id", text.search_text(F.col("content"), F.col("caption"), F.col("tags"))), "terms")
 
 
 def _bm25(spark: SparkSession, sf_dir: str, with_deleted: bool) -> DataFrame:
@@ -275,7 +282,7 @@ def _requests(spark: SparkSession, sf_dir: str, ents: DataFrame) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    ents = current(spark, sf_dir, [unit_vector(), *FIELDS])
+    ents = scratch(current(spark, sf_dir, [unit_vector(), *FIELDS]), "entities")
     hits = search.search_hybrid(_requests(spark, sf_dir, ents), ents, dim=DIM, filter_mode=mode)
     return hits.select("qid", "position", "id", "score", "rrf", "vec_rank", "key_rank", "title")
 
@@ -295,7 +302,7 @@ def hybrid_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def compare_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of hybrid hits against the exact nearest of the request's vector."""
-    ents = current(spark, sf_dir, [unit_vector(), *FIELDS])
+    ents = scratch(current(spark, sf_dir, [unit_vector(), *FIELDS]), "entities")
     req = _requests(spark, sf_dir, ents)
     hits = search.search_hybrid(req, ents, dim=DIM)
     return search.compare_flat(req, hits, ents, 12, DIM).withColumn("recall", F.round("recall", 6))
@@ -488,7 +495,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("id"), F.col("doc_id").cast("string").alias("doc_id"), "content", F.lit("default").alias("collection"),
         F.lit("text").alias("modality"), F.lit(None).cast("string").alias("caption"), F.array().cast("array<string>").alias("tags"),
         F.lit(None).cast("map<string,string>").alias("scalar"), F.lit(None).cast("string").alias("source_ref"), F.lit(None).cast("string").alias("content_hash"), F.lit(False).alias("deleted"),
-    ).withColumn("vector", embed.hash_embed(F.col("content"), 256))
+    )
+    ents = scratch(ents.withColumn("vector", embed.hash_embed(F.col("content"), 256)), "entities")
     question = spark.range(1).select(
         F.col("id").alias("qid"), F.lit("default").alias("collection"), F.lit("exact segment query index").alias("query"), F.lit(12).alias("top_k"), F.lit("cosine").alias("metric"),
         F.lit("flat").alias("index_type"), F.lit(60).alias("rrf_k"), F.lit(1.0).alias("vector_weight"), F.lit(1.0).alias("keyword_weight"), F.lit(None).cast("string").alias("modality"), F.lit("").alias("filter"),
