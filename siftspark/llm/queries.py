@@ -90,7 +90,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every record whose id is divisible by 20, among all records."""
     vectors = forest.vector_table(table(spark, sf_dir, "entities"))
-    return forest.nearest(vectors, 5, most=2048, short=512, every=20).withColumn("cosine", F.round("cosine", 6))
+    return forest.nearest(vectors, 5, most=16_384, short=4096, every=20, whole=2_000_000).withColumn("cosine", F.round("cosine", 6))
 
 
 @query
