@@ -156,6 +156,44 @@ def test_peaks_in_small_blocks(spark, monkeypatch):
     assert len({r.label for r in labels}) <= 30 and len(labels) == 900
 
 
+def _one_pair_a_level(dim, near):
+    """A level whose blocks part all nodes but two."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        got = [b for b in batches if b.num_rows]
+        if got:
+            t = pa.Table.from_batches(got).sort_by("node").select(["node", "modality", "n", "s"])
+            ids = t["node"].to_pylist()
+            yield from t.append_column("peak", pa.array((ids[:1] + ids[:1] + ids[2:])[: len(ids)], pa.int64())).combine_chunks().to_batches()
+
+    return run
+
+
+def test_levels_go_on_while_they_join(spark, monkeypatch):
+    monkeypatch.setattr(peaks, "_level", _one_pair_a_level)
+    v, _ = clustered(11, 1, 12, spread=0.3)
+    labels = peaks.peak_labels(forest.vector_table(entities(spark, v))).collect()
+    assert len(labels) == 12 and len({r.label for r in labels}) == 1
+
+
+def test_small_fragments_make_a_group(spark, monkeypatch):
+    """A group of which the levels left only pairs and single records, beside a chance pair with a member of another."""
+    v, lab = clustered(12, 2, 60, spread=0.5)
+    v = np.concatenate([v, [v[lab == 0][0] + 0.7 * np.random.default_rng(4).standard_normal(64) / 8]])
+    first = [int(i) for i in np.flatnonzero(lab == 0)]
+    own = {i: first[0] if lab[i] == 0 else int(i) for i in range(60)} | {60: 60, first[0]: 60}
+    rest = [int(i) for i in np.flatnonzero(lab == 1)]
+    own |= {rest[1]: rest[0], rest[3]: rest[2], rest[4]: rest[2]}
+    monkeypatch.setattr(peaks, "peak_labels", lambda vectors, near, dim: vectors.sparkSession.createDataFrame([(i, x) for i, x in own.items()], "id long, label long"))
+    members, _ = peaks.checked_groups(forest.vector_table(entities(spark, v)))
+    got = {}
+    for m in members.where("sound").collect():
+        got.setdefault(m.group_id, set()).add(m.id)
+    assert set(rest) in got.values() and any(set(first) <= g for g in got.values())
+
+
 @pytest.mark.parametrize("n,depth", [(10, 0), (50_001, 1), (10_000_000, 2)])
 def test_depth(n, depth):
     assert peaks._depth(n) == depth
