@@ -121,16 +121,21 @@ def apply_changes(oplog: DataFrame, base: DataFrame | None = None, rows_per_chun
 def final_state(oplog: DataFrame, rows_per_chunk: int = 500_000) -> DataFrame:
     """The entities that exist at the end with the fields of their last payload.
 
-    Fields that the payload lacks are null. chunk_index that is no number is null.
+    Fields that the payload lacks are null, and so are numbers that are none. Values of ``scalar`` are text, those
+    that are objects or lists their JSON. ``created_at`` is the payload's text.
     """
     state = apply_changes(oplog, rows_per_chunk=rows_per_chunk)
     body = oplog.select(F.col("seq").cast("long").alias("seq"), F.col("payload").cast("string").alias("s"))
     entity = F.from_json(
         "s",
         "collection string, modality string, content string, doc_id string, chunk_index string, "
-        "caption string, content_hash string, source_ref string, tags array<string>",
+        "caption string, content_hash string, source_ref string, tags array<string>, scalar map<string,string>, created_at string, "
+        "char_offset string, terms array<struct<term: string, start: int, end: int>>, mime string, width string, height string, "
+        "patches array<string>",
     )
+    number = lambda name: F.expr(f"try_cast(e.{name} as int)").alias(name)
     return state.join(body, "seq").withColumn("e", entity).select(
         "id", "seq", "e.collection", "e.modality", "e.content", "e.doc_id",
-        F.expr("try_cast(e.chunk_index as int)").alias("chunk_index"), "e.caption", "e.content_hash", "e.source_ref", "e.tags",
+        number("chunk_index"), "e.caption", "e.content_hash", "e.source_ref", "e.tags",
+        "e.scalar", "e.created_at", number("char_offset"), "e.terms", "e.mime", number("width"), number("height"), "e.patches",
     )

@@ -83,3 +83,17 @@ def test_escaped_keys_and_long_payload(spark):
     rows = [(1, 1, 1, '{"\\u0069d": "12", "content": "' + "x" * 200_000 + '"}')]
     assert [(r.id, r.gone) for r in parse_changes(log(spark, rows)).collect()] == [(12, False)]
     assert len(final_state(log(spark, rows)).first().content) == 200_000
+
+
+def test_state_has_every_field_of_the_payload(spark):
+    body = {
+        "id": 5, "scalar": {"title": "chunk", "id": "9", "n": 3, "o": {"a": 1}}, "created_at": "2025-01-01T00:00:00Z", "char_offset": 7,
+        "terms": [{"term": "x", "start": 0, "end": 1}], "mime": "image/png", "width": 40, "height": "x", "patches": [{"box": [0, 1]}],
+    }
+    rows = [(1, 1, 1, json.dumps(body)), (2, 1, 1, '{"id": 6, "content": "c", "scalar": "none"}'), (3, 1, 1, '{"id": 7, "tags": ["t"]}')]
+    out = {r.id: r for r in final_state(log(spark, rows)).collect()}
+    r = out[5]
+    assert r.scalar == {"title": "chunk", "id": "9", "n": "3", "o": '{"a":1}'} and r.created_at == body["created_at"]
+    assert (r.char_offset, r.mime, r.width, r.height, r.terms[0].term, r.terms[0].end) == (7, "image/png", 40, None, "x", 1)
+    assert json.loads(r.patches[0]) == {"box": [0, 1]}
+    assert (out[6].content, out[6].scalar) == ("c", None) and (out[7].tags, out[7].scalar) == (["t"], None)
