@@ -12,7 +12,9 @@ near a centroid is hashed by what is left of it without the centroid; the string
 trees are those of the whole vectors, for neighbours whose nearest centroids differ. The sample shapes
 the index only: every vector is indexed and searched.
 
-Trees are dealt to blocks by (tree, cell, first character); a shuffled row holds many packed entries,
+Trees are dealt to blocks by (tree, cell). A cell with more strings than a block should hold is cut between first
+characters into pieces, which also get the neighbouring strings that short leaves are widened to, so the pieces
+propose the same pairs as the whole cell. A shuffled row holds many packed entries,
 with the vector in bytes for a first estimate of the cosine. A run that stays large through the whole
 string (vectors that hardly differ) is compared in tiles, whatever its size: nothing is dropped.
 """
@@ -31,7 +33,7 @@ from ..session import partitions, scratch
 
 SAMPLE = 8192
 CHARS = 6
-WHOLE = 50_000  # up to so many vectors a block holds whole cells of a tree, beyond it the strings of one first character
+WHOLE = 50_000  # a cell of a tree with more strings is cut into pieces
 SEED = 20
 
 
@@ -100,7 +102,66 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _grow(shared, dim: int, trees: int, blocks: int, every: int, deal: int):
+def _hashed(x: np.ndarray, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each row, -1 if none is near, and what is left of the row without its centroid."""
+    cell = np.full(len(x), -1, np.int64)
+    if not len(cents):
+        return cell, x
+    s = x @ cents.T
+    c = np.argmax(s, axis=1)
+    at = np.arange(len(x))
+    cell = np.where(s[at, c] >= 0.5, c, -1)
+    rest = unit(x - np.where(cell >= 0, s[at, c], 0)[:, None].astype(np.float32) * cents[c])
+    rest[cell < 0] = x[cell < 0]
+    return cell, rest
+
+
+def _count(shared, dim: int, trees: int):
+    """Strings by (tree, cell + 1, first character), packed into one number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cents = shared.value
+        turns = rotations(dim, trees * CHARS).reshape(trees, CHARS, dim, dim)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4000):
+                x = unit(matrix(whole.slice(lo, 4000).column(1), dim))
+                cell, rest = _hashed(x, cents)
+                for t in range(trees):
+                    plain = t >= trees - trees // 3
+                    c = strings(x if plain else rest, turns[t][:1])[:, 0].astype(np.int64)
+                    key, n = np.unique(((t << 16) + (0 if plain else cell + 1)) * 256 + c, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return run
+
+
+def cut_cells(key: np.ndarray, n: np.ndarray, whole: int, most: int, short: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+    """The pieces of each (tree, cell) with more than ``whole`` strings: (first, end, copied from, copied to) in first characters.
+
+    A piece gets copies of as many neighbouring characters as leaves of one character each are widened to.
+    """
+    out = {}
+    for cell in np.unique(key >> 8):
+        own = np.zeros(256, np.int64)
+        own[key[key >> 8 == cell] & 255] = n[key >> 8 == cell]
+        if own.sum() <= whole:
+            continue
+        before = np.append(0, np.cumsum(own))
+        need = np.where((own > 0) & (own <= most), np.maximum(0, short - own), 0)
+        pieces, a = [], 0
+        for z in range(1, 257):
+            if before[z] - before[a] < max(1, whole // 8) and z < 256:
+                continue
+            pad = need[a:z] > 0
+            lo = (before[a:z] - need[a:z])[pad].min(initial=before[a])
+            hi = (before[a + 1 : z + 1] + need[a:z])[pad].max(initial=before[z])
+            pieces.append((a, z, max(0, int(np.searchsorted(before, max(0, lo), "right")) - 1), int(np.searchsorted(before, min(hi, before[-1]), "left"))))
+            a = z
+        out[int(cell) >> 16, int(cell) & 65535] = pieces
+    return out
+
+
+def _grow(shared, dim: int, trees: int, blocks: int, every: int, cut: dict):
     entry = _entry(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,27 +171,31 @@ def _grow(shared, dim: int, trees: int, blocks: int, every: int, deal: int):
             for lo in range(0, whole.num_rows, 4000):
                 b = whole.slice(lo, 4000)
                 x = unit(matrix(b.column(1), dim))
-                cell = np.full(len(x), -1, np.int64)
-                rest = x
-                if len(cents):
-                    s = x @ cents.T
-                    c = np.argmax(s, axis=1)
-                    at = np.arange(len(x))
-                    cell = np.where(s[at, c] >= 0.5, c, -1)
-                    rest = unit(x - np.where(cell >= 0, s[at, c], 0)[:, None].astype(np.float32) * cents[c])
-                    rest[cell < 0] = x[cell < 0]
+                cell, rest = _hashed(x, cents)
                 ids = np.asarray(b.column(0))
-                q = np.zeros(len(x), entry)
-                q["id"] = ids
-                q["ask"] = ids % every == 0
-                q["v"] = np.rint(x * 127)
+                all_ = np.zeros(len(x), entry)
+                all_["id"] = ids
+                all_["ask"] = ids % every == 0
+                all_["v"] = np.rint(x * 127)
                 parts: dict[int, list[bytes]] = {}
                 for t in range(trees):
                     plain = t >= trees - trees // 3
-                    q["s"] = strings(x if plain else rest, turns[t])
-                    q["tree"] = t
-                    q["cell"] = -1 if plain else cell
-                    k = (q["cell"].astype(np.int64) + 1) * 7919 + t * 104729 + deal * q["s"][:, 0].astype(np.int64) * 15485863
+                    all_["s"] = strings(x if plain else rest, turns[t])
+                    all_["tree"] = t
+                    all_["cell"] = -1 if plain else cell
+                    q = all_
+                    if any(k[0] == t for k in cut):
+                        q = [all_[[(t, c + 1) not in cut for c in all_["cell"].tolist()]]]
+                        for (tree, c), pieces in cut.items():
+                            own = all_[all_["cell"] == c - 1] if tree == t else all_[:0]
+                            first = own["s"][:, 0]
+                            for i, (a, z, from_, to) in enumerate(pieces if len(own) else []):
+                                got = own[(first >= min(a, from_)) & (first < max(z, to))]
+                                got["piece"] = i + 1
+                                got["ask"] &= (got["s"][:, 0] >= a) & (got["s"][:, 0] < z)
+                                q.append(got)
+                        q = np.concatenate(q)
+                    k = (q["cell"].astype(np.int64) + 1) * 7919 + t * 104729 + q["piece"].astype(np.int64) * 15485863
                     k = (k ^ (k >> 7)) % blocks
                     by = np.argsort(k, kind="stable")
                     cuts = np.searchsorted(k[by], np.arange(blocks + 1))
@@ -145,19 +210,19 @@ def _grow(shared, dim: int, trees: int, blocks: int, every: int, deal: int):
 
 
 def _entry(dim: int) -> np.dtype:
-    return np.dtype([("id", "<i8"), ("tree", "<u2"), ("cell", "<i2"), ("s", "u1", CHARS), ("ask", "u1"), ("v", "i1", dim)])
+    return np.dtype([("id", "<i8"), ("tree", "<u2"), ("cell", "<i2"), ("piece", "<u2"), ("s", "u1", CHARS), ("ask", "u1"), ("v", "i1", dim)])
 
 
-def leaves(s: np.ndarray, lo: int, hi: int, depth: int, most: int, short: int) -> Iterator[tuple[int, int, int, int]]:
+def leaves(s: np.ndarray, lo: int, hi: int, depth: int, most: int, short: int, piece: bool = False) -> Iterator[tuple[int, int, int, int]]:
     """Runs of the sorted strings s[lo:hi], which share ``depth`` characters: (from, to, wide from, wide to).
 
     A run of at most ``most`` strings, or of equal ones, is a leaf. Short leaves are widened to their neighbours
-    in the run they come from.
+    in the run they come from. A ``piece`` of a run is no leaf, however short.
     """
     stack = [(lo, hi, depth, lo, hi)]
     while stack:
         lo, hi, depth, up_lo, up_hi = stack.pop()
-        if hi - lo <= most or depth == s.shape[1]:
+        if (hi - lo <= most and not (piece and depth == 0)) or depth == s.shape[1]:
             pad = max(0, short - (hi - lo))
             yield lo, hi, max(up_lo, lo - pad), min(up_hi, hi + pad)
             continue
@@ -166,7 +231,7 @@ def leaves(s: np.ndarray, lo: int, hi: int, depth: int, most: int, short: int) -
         stack += [(int(a), int(b), depth + 1, lo, hi) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _search(dim: int, least: float | None, k: int, most: int, short: int, deal: int):
+def _search(dim: int, least: float | None, k: int, most: int, short: int):
     """The pairs that the trees of a block propose: all with an estimate of at least ``least``, or each asking vector's best."""
     entry = _entry(dim)
     keep = 4 * k
@@ -179,18 +244,18 @@ def _search(dim: int, least: float | None, k: int, most: int, short: int, deal:
                 blocks.setdefault(j, []).append(x)
         for j in list(blocks):
             e = np.frombuffer(b"".join(blocks.pop(j)), entry)
-            code = np.concatenate([e["tree"][:, None] >> 8, e["tree"][:, None] & 255, (e["cell"][:, None] + 1) >> 8, (e["cell"][:, None] + 1) & 255, e["s"]], axis=1).astype(np.uint8)
+            code = np.concatenate([e["tree"][:, None] >> 8, e["tree"][:, None] & 255, (e["cell"][:, None] + 1) >> 8, (e["cell"][:, None] + 1) & 255, e["piece"][:, None] >> 8, e["piece"][:, None] & 255, e["s"]], axis=1).astype(np.uint8)
             flat = np.zeros((len(e), 16), np.uint8)
             flat[:, : code.shape[1]] = code
             word = flat.view(">u8")
             by = np.lexsort((e["id"], word[:, 1], word[:, 0]))
             e, code = e[by], code[by]
-            head = code[:, : 4 + deal]
+            head = code[:, :6]
             edge = np.append(np.append(0, np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1), len(e))
             got: list[np.ndarray] = []
             held = 0
             for lo, hi in zip(edge[:-1], edge[1:]):
-                for a, z, wa, wz in leaves(e["s"], int(lo), int(hi), deal, most, short):
+                for a, z, wa, wz in leaves(e["s"], int(lo), int(hi), 0, most, short, bool(e["piece"][lo]) if hi > lo else False):
                     for p in _compare(e, a, z, wa, wz, least, margin, keep):
                         got.append(p)
                         held += len(p)
@@ -274,7 +339,7 @@ def nearest(
     ``vectors``: id, vec (float32 bytes, dim finite numbers, not all zero). ``least``: only neighbours
     with at least this cosine are wanted; then every proposed pair above it is kept. Without it each tree
     proposes its best 4k for each vector. ``every``: only vectors whose id is divisible by it ask, against all.
-    ``whole``: up to so many vectors the blocks hold whole cells, so leaves may be as large as ``most`` says.
+    ``whole``: a cell with more strings (and more than ``most``) is cut into pieces; the result does not depend on it.
 
     Equal vectors form one class, searched once; each record gets the smallest ids of its neighbours' classes
     and of its own (cosine 1), itself excepted. Nulls are left out. An empty table gives an empty table.
@@ -290,9 +355,12 @@ def nearest(
     x = unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), np.float32).reshape(-1, dim)) if sample else np.zeros((0, dim), np.float32)
     shared = spark.sparkContext.broadcast(fit_centroids(x))
     blocks = partitions(spark)
-    deal = int(n > whole)
-    forest = reps.select("rep", "vec").mapInArrow(_grow(shared, dim, trees, blocks, every, deal), "block int, packed binary")
-    found = forest.repartitionById(blocks, F.col("block")).mapInArrow(_search(dim, least, k, most, short, deal), "a long, b long").distinct()
+    whole, cut = max(whole, most), {}
+    if n > whole:
+        sizes = reps.select("rep", "vec").mapInArrow(_count(shared, dim, trees), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+        cut = cut_cells(np.array([r["key"] for r in sizes], np.int64), np.array([r["n"] for r in sizes], np.int64), whole, most, short)
+    forest = reps.select("rep", "vec").mapInArrow(_grow(shared, dim, trees, blocks, every, cut), "block int, packed binary")
+    found = forest.repartitionById(blocks, F.col("block")).mapInArrow(_search(dim, least, k, most, short), "a long, b long").distinct()
     left, right = reps.select(F.col("rep").alias("a"), F.col("vec").alias("x")), reps.select(F.col("rep").alias("b"), F.col("vec").alias("y"))
     exact = found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_cosines(dim), "a long, b long, cosine double")
     if least is not None:

@@ -111,6 +111,13 @@ def test_forest_recall(spark):
     assert hits >= 0.9 * 5 * len(by)
 
 
+def test_cut_cells_propose_the_same(spark):
+    v, _ = clustered(13, 3, 1200, spread=0.8)
+    table = forest.vector_table(entities(spark, v))
+    whole, cut = ({(r.id, r.neighbour) for r in forest.nearest(table, 5, trees=3, most=60, short=120, whole=w).collect()} for w in (10_000, 100))
+    assert whole == cut and len(whole) == 6000
+
+
 def test_forest_edges(spark):
     one = np.eye(64)[0]
     v = [one, one, one * 2, None, np.zeros(64), np.ones(3), np.full(64, np.nan), one, np.eye(64)[1]]
