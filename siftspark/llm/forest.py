@@ -1,22 +1,22 @@
 """The most similar vectors for every vector: a hash-prefix forest.
 
 Each tree gives each vector a long hash string; a character is the coordinate (and its sign) that is
-largest after a random rotation, so similar vectors tend to share it. The strings of a tree lie sorted;
-from each one the search descends along its prefix until the run of strings that share it is small
-enough to be compared in full, and, where that run is very short, ascends to its neighbours in the
-sorted array, alike in all trees. What the trees propose is compared exactly.
+largest after a random rotation, so similar vectors tend to share it. The strings of a tree lie sorted.
+From each asking vector's string the search descends along its prefix while the run of strings that
+share it holds more than a fixed share of all vectors, and ascends, in all trees alike, where the run is
+short: runs of neighbouring prefixes in the sorted array are then one page. It descends from the
+``probes`` most likely first characters, so few trees are stored. A page is compared in full with what
+asks for it, at every size of the data by the same rule: candidates are a constant share of the vectors.
 
 Vectors that crowd around a common direction would share long prefixes with thousands of others. So
-centroids are fitted on a bounded sample (about ``SAMPLE`` vectors, those with the smallest hashed ids) and a vector
-near a centroid is hashed by what is left of it without the centroid; the strings of the last third of the
-trees are those of the whole vectors, for neighbours whose nearest centroids differ. The sample shapes
-the index only: every vector is indexed and searched.
-
-Trees are dealt to blocks by (tree, cell). A cell with more strings than a block should hold is cut between first
-characters into pieces, which also get the neighbouring strings that short leaves are widened to, so the pieces
-propose the same pairs as the whole cell. A shuffled row holds many packed entries,
-with the vector in bytes for a first estimate of the cosine. A run that stays large through the whole
-string (vectors that hardly differ) is compared in tiles, whatever its size: nothing is dropped.
+centroids are fitted on a bounded sample (about ``SAMPLE`` vectors, those with the smallest hashed ids); a
+tree has one sorted array for each centroid, with the strings of what is left of its vectors without it,
+and one for vectors near none. The sample shapes the index only: every vector is indexed and searched.
+
+Where a page begins and ends follows from counts of prefixes, in tables whose size depends on the
+parameters. The pages of all trees, laid end to end, are cut into blocks of about equal work, and a
+page with more work than a block should have is cut into a grid of parts of its vectors and of its
+asking ones. So no task depends on a hot prefix, and no result on how the blocks are cut.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from ..session import partitions, scratch
 
 SAMPLE = 8192
 CHARS = 6
-WHOLE = 50_000  # a cell of a tree with more strings is cut into pieces
 SEED = 20
+TIE = 4e-6  # more than 64 products of unit coordinates lose in float32
 
 
 def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
@@ -42,14 +42,17 @@ def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32) for _ in range(count)])
 
 
-def strings(x: np.ndarray, turns: np.ndarray) -> np.ndarray:
-    """Hash string of each row of x (unit or not), one byte a character: (rows, characters)."""
-    out = np.empty((len(x), len(turns)), np.uint8)
-    for k, r in enumerate(turns):
-        y = x @ r
-        a = np.argmax(np.abs(y), axis=1)
-        out[:, k] = (2 * a + (y[np.arange(len(x)), a] < 0)) % 256
-    return out
+def characters(x: np.ndarray, turn: np.ndarray, probes: int = 1) -> np.ndarray:
+    """The ``probes`` most likely characters of each row of x (unit or not), best first: (rows, probes)."""
+    y = x @ turn
+    size = np.abs(y)
+    if probes == 1:
+        a = np.argmax(size, axis=1)[:, None]
+    else:
+        probes = min(probes, x.shape[1])
+        a = np.argpartition(-size, probes - 1, axis=1)[:, :probes]
+        a = np.take_along_axis(a, np.argsort(-np.take_along_axis(size, a, 1), axis=1, kind="stable"), 1)
+    return 2 * a + (np.take_along_axis(y, a, 1) < 0)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -64,17 +67,18 @@ def fit_centroids(x: np.ndarray, near: float = 0.55, least: int = 6) -> np.ndarr
     n = len(x)
     if n < least:
         return np.zeros((0, x.shape[1] if n else 1), np.float32)
-    close = [np.flatnonzero(row) for i in range(0, n, 1024) for row in (x[i : i + 1024] @ x.T >= near)]
+    degree = np.concatenate([(x[i : i + 1024] @ x.T >= near).sum(axis=1) for i in range(0, n, 1024)])
     free = np.ones(n, bool)
     out = []
-    for i in sorted(range(n), key=lambda i: -len(close[i])):
-        if len(close[i]) < least:
+    for i in np.argsort(-degree, kind="stable"):
+        if degree[i] < least:
             break
         if free[i]:
-            own = close[i][free[close[i]]]
-            free[close[i]] = False
+            close = x @ x[i] >= near
+            own = close & free
+            free[close] = False
             free[i] = False
-            if len(own) >= least:
+            if own.sum() >= least:
                 out.append(x[own].mean(axis=0))
     return unit(np.array(out)) if out else np.zeros((0, x.shape[1]), np.float32)
 
@@ -102,225 +106,361 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
 
 
-def _hashed(x: np.ndarray, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each row, -1 if none is near, and what is left of the row without its centroid."""
-    cell = np.full(len(x), -1, np.int64)
-    if not len(cents):
-        return cell, x
-    s = x @ cents.T
-    c = np.argmax(s, axis=1)
-    at = np.arange(len(x))
-    cell = np.where(s[at, c] >= 0.5, c, -1)
-    rest = unit(x - np.where(cell >= 0, s[at, c], 0)[:, None].astype(np.float32) * cents[c])
-    rest[cell < 0] = x[cell < 0]
-    return cell, rest
+class Trees:
+    """The tries of all trees: children of nodes by character. Roots come first, one for each (tree, cell).
 
+    A child is a page (0 and up), a deeper node (-1 - node) or, at a node of the frontier, not known yet.
+    """
 
-def _count(shared, dim: int, trees: int):
-    """Strings by (tree, cell + 1, first character), packed into one number."""
+    def __init__(self, cents: np.ndarray, dim: int, trees: int, probes: int):
+        self.cents, self.dim, self.trees, self.probes = cents, dim, trees, probes
+        self.child = np.zeros((trees * (len(cents) + 1), 2 * dim), np.int32)
+        self.frontier = 0
+
+    def _rest(self, x: np.ndarray, cell: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """What is left of each row without its cell's centroid; s: its product with it."""
+        out = x.copy()
+        own = cell >= 0
+        out[own] = unit(x[own] - s[own][:, None] * self.cents[cell[own]])
+        return out
+
+    def own_cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the cell of each row, -1 if no centroid is near; its rest)."""
+        if not len(self.cents):
+            return np.full(len(x), -1, np.int64), x
+        s = x @ self.cents.T
+        c = np.argmax(s, axis=1)
+        top = s[np.arange(len(x)), c]
+        cell = np.where(top >= 0.5, c, -1)
+        return cell, self._rest(x, cell, top)
+
+    def asked_cells(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, cell, rest) for each round of cells that the rows ask: the nearest, the next if about as near, and what is near none."""
+        at = np.arange(len(x))
+        if not len(self.cents):
+            yield at, np.full(len(x), -1, np.int64), x
+            return
+        s = x @ self.cents.T
+        c = np.argsort(-s, axis=1, kind="stable")[:, :2]
+        top = np.take_along_axis(s, c, 1)
+        yield at, c[:, 0], self._rest(x, c[:, 0], top[:, 0])
+        if c.shape[1] > 1 and len(rows := np.flatnonzero(top[:, 1] >= top[:, 0] - 0.1)):
+            yield rows, c[rows, 1], self._rest(x[rows], c[rows, 1], top[rows, 1])
+        if len(rows := np.flatnonzero(top[:, 0] < 0.65)):
+            yield rows, np.full(len(rows), -1, np.int64), x[rows]
+
+    def _descend(self, node: np.ndarray, char: np.ndarray, rest: np.ndarray, turns: np.ndarray) -> np.ndarray:
+        """The page of each row, or -1 - (2 dim node + character) where a node of the frontier is met."""
+        out = np.zeros(len(node), np.int64)
+        at = np.arange(len(node))
+        depth = 0
+        while len(at):
+            known = node < self.frontier
+            out[at[~known]] = -1 - (node[~known] * 2 * self.dim + char[~known])
+            at, node, char = at[known], node[known], char[known]
+            to = self.child[node, char].astype(np.int64)
+            out[at[to >= 0]] = to[to >= 0]
+            deep = to < 0
+            at, node = at[deep], -1 - to[deep]
+            depth += 1
+            if len(at):
+                char = characters(rest[at], turns[depth])[:, 0]
+        return out
+
+    def places(self, x: np.ndarray, ask: np.ndarray, stored: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place of each stored string; row, place of each asked page). turns: (trees, CHARS, dim, dim)."""
+        cells = len(self.cents) + 1
+        held = np.flatnonzero(stored)
+        cell, rest = self.own_cells(x[held])
+        kept = [self._descend(t * cells + cell + 1, characters(rest, turns[t, 0])[:, 0], rest, turns[t]) for t in range(self.trees)]
+        held = np.tile(held, self.trees)
+        rows, asked = [], []
+        own = np.flatnonzero(ask)
+        for at, c, r in self.asked_cells(x[own]) if len(own) else ():
+            for t in range(self.trees):
+                chars = characters(r, turns[t, 0], self.probes)
+                p = chars.shape[1]
+                rows.append(np.repeat(own[at], p))
+                asked.append(self._descend(np.repeat(t * cells + c + 1, p), chars.ravel(), np.repeat(r, p, axis=0), turns[t]))
+        none = np.zeros(0, np.int64)
+        if rows:  # several characters may lead to one page
+            both = np.unique(np.stack([np.concatenate(rows), np.concatenate(asked)]), axis=1)
+            return held, np.concatenate(kept), both[0], both[1]
+        return held, np.concatenate(kept), none, none
+
+    def turns(self) -> np.ndarray:
+        return rotations(self.dim, self.trees * CHARS).reshape(self.trees, CHARS, self.dim, self.dim)
+
+
+def cut_pages(child: np.ndarray, first: int, sizes: np.ndarray, asks: np.ndarray, most: int, short: int, last: bool, pages: list) -> np.ndarray:
+    """Fills the children of the nodes from ``first`` on; appends (size, asks) of new pages; gives the nodes to come.
+
+    sizes, asks: counts by (node, character). A run of more than ``most`` strings becomes a node unless it is the
+    ``last`` character; runs side by side are gathered to pages of at least ``short`` strings.
+    """
+    deeper = 0
+    for i in range(len(sizes)):
+        open_ = -1  # the page that still grows
+        before = -1  # the page before it, if they are neighbours
+        for c in range(sizes.shape[1]):
+            if sizes[i, c] > most and not last:
+                child[first + i, c] = -1 - (len(child) + deeper)
+                deeper += 1
+                open_ = before = -1
+                continue
+            if open_ < 0:
+                open_ = len(pages)
+                pages.append([0, 0])
+            child[first + i, c] = open_
+            pages[open_][0] += int(sizes[i, c])
+            pages[open_][1] += int(asks[i, c])
+            if pages[open_][0] >= short:
+                open_, before = -1, open_
+        if open_ >= 0 and before >= 0:  # what is left at the end joins its neighbour
+            row = child[first + i]
+            row[row == open_] = before
+            pages[before][0] += pages[open_][0]
+            pages[before][1] += pages[open_][1]
+            pages[open_] = [0, 0]
+    return np.zeros((deeper, child.shape[1]), np.int32)
+
+
+def _unpacked(b: pa.RecordBatch, lo: int, dim: int):
+    b = b.slice(lo, 4000)
+    ask, stored = (np.asarray(b.column(i).cast(pa.uint8())) > 0 for i in (2, 3))
+    return np.asarray(b.column(0)), np.asarray(b.column(4)), ask, stored, matrix(b.column(1), dim)
+
+
+def _count(shared, dim: int):
+    """Stored and asking strings by (node of the frontier, character)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cents = shared.value
-        turns = rotations(dim, trees * CHARS).reshape(trees, CHARS, dim, dim)
+        trees: Trees = shared.value
+        turns = trees.turns()
         for whole in batches:
             for lo in range(0, whole.num_rows, 4000):
-                x = unit(matrix(whole.slice(lo, 4000).column(1), dim))
-                cell, rest = _hashed(x, cents)
-                for t in range(trees):
-                    plain = t >= trees - trees // 3
-                    c = strings(x if plain else rest, turns[t][:1])[:, 0].astype(np.int64)
-                    key, n = np.unique(((t << 16) + (0 if plain else cell + 1)) * 256 + c, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+                _, _, ask, stored, raw = _unpacked(whole, lo, dim)
+                _, place, _, asked = trees.places(unit(raw), ask, stored, turns)
+                key, at = np.unique(-1 - np.concatenate([place, asked]), return_inverse=True)
+                n = np.bincount(at[: len(place)], minlength=len(key))
+                q = np.bincount(at[len(place) :], minlength=len(key))
+                ok = key >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(n[ok].astype(np.int64)), pa.array(q[ok].astype(np.int64))], names=["key", "n", "q"])
 
     return run
 
 
-def cut_cells(key: np.ndarray, n: np.ndarray, whole: int, most: int, short: int) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
-    """The pieces of each (tree, cell) with more than ``whole`` strings: (first, end, copied from, copied to) in first characters.
+class Grid:
+    """The parts of each page and the block of each part.
 
-    A piece gets copies of as many neighbouring characters as leaves of one character each are widened to.
+    A page of n strings and q asking ones has rows x cols parts: strings are dealt to its rows, asking ones to its columns.
     """
-    out = {}
-    for cell in np.unique(key >> 8):
-        own = np.zeros(256, np.int64)
-        own[key[key >> 8 == cell] & 255] = n[key >> 8 == cell]
-        if own.sum() <= whole:
-            continue
-        before = np.append(0, np.cumsum(own))
-        need = np.where((own > 0) & (own <= most), np.maximum(0, short - own), 0)
-        pieces, a = [], 0
-        for z in range(1, 257):
-            if before[z] - before[a] < max(1, whole // 8) and z < 256:
-                continue
-            pad = need[a:z] > 0
-            lo = (before[a:z] - need[a:z])[pad].min(initial=before[a])
-            hi = (before[a + 1 : z + 1] + need[a:z])[pad].max(initial=before[z])
-            pieces.append((a, z, max(0, int(np.searchsorted(before, max(0, lo), "right")) - 1), int(np.searchsorted(before, min(hi, before[-1]), "left"))))
-            a = z
-        out[int(cell) >> 16, int(cell) & 65535] = pieces
-    return out
-
 
-def _grow(shared, dim: int, trees: int, blocks: int, every: int, cut: dict):
-    entry = _entry(dim)
+    def __init__(self, n: np.ndarray, q: np.ndarray, dim: int, block: int, most_blocks: int):
+        unit_work = 5000  # comparisons that cost as much as moving a string
+        self.rows = np.maximum(1, -(-n // block))
+        tall = -(-n // self.rows)
+        self.cols = np.maximum(1, -(-(q * np.maximum(1, tall)) // (block * unit_work)))
+        parts = self.rows * self.cols
+        self.first = np.append(0, np.cumsum(parts))
+        wide = -(-q // self.cols)
+        work = np.repeat(np.where((n > 0) & (q > 0), tall + wide + tall * wide / unit_work, 0.0), parts)
+        upto = np.cumsum(work)
+        total = float(upto[-1]) if len(upto) else 0.0
+        self.blocks = int(max(1, most_blocks, -(-total // block)))
+        self.block = np.minimum(self.blocks - 1, ((upto - work / 2) * self.blocks / max(total, 1.0)).astype(np.int64)).astype(np.int32)
+        self.empty = (n == 0) | (q == 0)  # nothing to compare: nothing is sent
+
+    def deal(self, row: np.ndarray, page: np.ndarray, ids: np.ndarray, asking: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part) of everything that (row, page) is sent to."""
+        ok = ~self.empty[page]
+        row, page = row[ok], page[ok]
+        h = (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        r, c = self.rows[page], self.cols[page]
+        copies = r if asking else c
+        k = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        row, page, h = np.repeat(row, copies), np.repeat(page, copies), np.repeat(h, copies)
+        r, c = self.rows[page], self.cols[page]
+        if asking:
+            part = k * c + (h % c.astype(np.uint64)).astype(np.int64)
+        else:
+            part = (h % r.astype(np.uint64)).astype(np.int64) * c + k
+        return row, self.first[page] + part
+
+
+_PLACE = np.dtype([("row", "<u2"), ("part", "<i4")])
+
+
+def _row(dim: int) -> np.dtype:
+    return np.dtype([("id", "<i8"), ("kind", "<i8"), ("v", "<f4", dim)])
+
+
+def _grow(shared, dim: int):
+    """(block, packed rows): of a batch, each block gets a vector once, and where it is stored or asks."""
+    row_type = _row(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cents = shared.value
-        turns = rotations(dim, trees * CHARS).reshape(trees, CHARS, dim, dim)
+        trees, grid = shared.value
+        turns = trees.turns()
         for whole in batches:
             for lo in range(0, whole.num_rows, 4000):
-                b = whole.slice(lo, 4000)
-                x = unit(matrix(b.column(1), dim))
-                cell, rest = _hashed(x, cents)
-                ids = np.asarray(b.column(0))
-                all_ = np.zeros(len(x), entry)
-                all_["id"] = ids
-                all_["ask"] = ids % every == 0
-                all_["v"] = np.rint(x * 127)
-                parts: dict[int, list[bytes]] = {}
-                for t in range(trees):
-                    plain = t >= trees - trees // 3
-                    all_["s"] = strings(x if plain else rest, turns[t])
-                    all_["tree"] = t
-                    all_["cell"] = -1 if plain else cell
-                    q = all_
-                    if any(k[0] == t for k in cut):
-                        q = [all_[[(t, c + 1) not in cut for c in all_["cell"].tolist()]]]
-                        for (tree, c), pieces in cut.items():
-                            own = all_[all_["cell"] == c - 1] if tree == t else all_[:0]
-                            first = own["s"][:, 0]
-                            for i, (a, z, from_, to) in enumerate(pieces if len(own) else []):
-                                got = own[(first >= min(a, from_)) & (first < max(z, to))]
-                                got["piece"] = i + 1
-                                got["ask"] &= (got["s"][:, 0] >= a) & (got["s"][:, 0] < z)
-                                q.append(got)
-                        q = np.concatenate(q)
-                    k = (q["cell"].astype(np.int64) + 1) * 7919 + t * 104729 + q["piece"].astype(np.int64) * 15485863
-                    k = (k ^ (k >> 7)) % blocks
-                    by = np.argsort(k, kind="stable")
-                    cuts = np.searchsorted(k[by], np.arange(blocks + 1))
-                    for j in range(blocks):
-                        if cuts[j] < cuts[j + 1]:
-                            parts.setdefault(j, []).append(q[by[cuts[j] : cuts[j + 1]]].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(parts), pa.int32()), pa.array([b"".join(p) for p in parts.values()], pa.binary())], names=["block", "packed"]
-                )
+                ids, part_of, ask, stored, raw = _unpacked(whole, lo, dim)
+                row, place, asking, asked = trees.places(unit(raw), ask, stored, turns)
+                row, part = grid.deal(row, place, ids, False)
+                asking, asked = grid.deal(asking, asked, ids, True)
+                who = np.concatenate([row, asking])
+                where = np.concatenate([part, asked])
+                kind = np.repeat([0, 1], [len(row), len(asking)])
+                by = np.lexsort((where, kind, grid.block[where]))
+                who, where, kind = who[by], where[by], kind[by]
+                to = grid.block[where]
+                edge = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+                out = []
+                for a, z in zip(edge, np.append(edge[1:], len(to))):
+                    used, local = np.unique(who[a:z], return_inverse=True)
+                    d = np.zeros(len(used), row_type)
+                    d["id"], d["kind"], d["v"] = ids[used], part_of[used], raw[used]
+                    p = np.zeros(z - a, _PLACE)
+                    p["row"], p["part"] = local, where[a:z]
+                    out.append(np.array([len(used), int((kind[a:z] == 0).sum())], np.int32).tobytes() + d.tobytes() + p.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(to[edge].astype(np.int32)), pa.array(out, pa.binary())], names=["block", "packed"])
 
     return run
 
 
-def _entry(dim: int) -> np.dtype:
-    return np.dtype([("id", "<i8"), ("tree", "<u2"), ("cell", "<i2"), ("piece", "<u2"), ("s", "u1", CHARS), ("ask", "u1"), ("v", "i1", dim)])
-
-
-def leaves(s: np.ndarray, lo: int, hi: int, depth: int, most: int, short: int, piece: bool = False) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of the sorted strings s[lo:hi], which share ``depth`` characters: (from, to, wide from, wide to).
-
-    A run of at most ``most`` strings, or of equal ones, is a leaf. Short leaves are widened to their neighbours
-    in the run they come from. A ``piece`` of a run is no leaf, however short.
-    """
-    stack = [(lo, hi, depth, lo, hi)]
-    while stack:
-        lo, hi, depth, up_lo, up_hi = stack.pop()
-        if (hi - lo <= most and not (piece and depth == 0)) or depth == s.shape[1]:
-            pad = max(0, short - (hi - lo))
-            yield lo, hi, max(up_lo, lo - pad), min(up_hi, hi + pad)
-            continue
-        c = s[lo:hi, depth]
-        cuts = np.append(np.append(0, np.flatnonzero(c[1:] != c[:-1]) + 1), hi - lo) + lo
-        stack += [(int(a), int(b), depth + 1, lo, hi) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def _search(dim: int, least: float | None, k: int, most: int, short: int):
-    """The pairs that the trees of a block propose: all with an estimate of at least ``least``, or each asking vector's best."""
-    entry = _entry(dim)
-    keep = 4 * k
-    margin = 0.02  # the estimate's error: rounding to 1/127 of 64 unit coordinates stays well below
+def _search(dim: int, least: float | None, k: int):
+    """(a, b, cosine): of each asking vector a, its k best (with at least ``least``) among the parts of a block."""
+    row_type = _row(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[bytes]] = {}
+        rows, stored, asking, base = [], [], [], 0
         for b in batches:
-            for j, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                blocks.setdefault(j, []).append(x)
-        for j in list(blocks):
-            e = np.frombuffer(b"".join(blocks.pop(j)), entry)
-            code = np.concatenate([e["tree"][:, None] >> 8, e["tree"][:, None] & 255, (e["cell"][:, None] + 1) >> 8, (e["cell"][:, None] + 1) & 255, e["piece"][:, None] >> 8, e["piece"][:, None] & 255, e["s"]], axis=1).astype(np.uint8)
-            flat = np.zeros((len(e), 16), np.uint8)
-            flat[:, : code.shape[1]] = code
-            word = flat.view(">u8")
-            by = np.lexsort((e["id"], word[:, 1], word[:, 0]))
-            e, code = e[by], code[by]
-            head = code[:, :6]
-            edge = np.append(np.append(0, np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1), len(e))
-            got: list[np.ndarray] = []
-            held = 0
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                for a, z, wa, wz in leaves(e["s"], int(lo), int(hi), 0, most, short, bool(e["piece"][lo]) if hi > lo else False):
-                    for p in _compare(e, a, z, wa, wz, least, margin, keep):
-                        got.append(p)
-                        held += len(p)
-                if held > 2_000_000:
-                    got = [np.unique(np.concatenate(got), axis=0)]
-                    held = len(got[0])
-                    if held > 1_000_000:
-                        yield _pairs(got.pop())
+            for x in b.column(1).to_pylist():
+                m, s = np.frombuffer(x, np.int32, 2)
+                d = np.frombuffer(x, row_type, int(m), 8)
+                p = np.frombuffer(x, _PLACE, -1, 8 + int(m) * row_type.itemsize)
+                rows.append(d)
+                stored.append((p["row"][:s].astype(np.int64) + base, p["part"][:s]))
+                asking.append((p["row"][s:].astype(np.int64) + base, p["part"][s:]))
+                base += int(m)
+        if not rows:
+            return
+        ids, kinds, raw = (np.concatenate([d[c] for d in rows]) for c in ("id", "kind", "v"))
+        rows.clear()
+        u = unit(raw)
+
+        def by_part(pairs):
+            at, part = (np.concatenate(x) for x in zip(*pairs))
+            by = np.lexsort((ids[at], part))
+            at, part = at[by], part[by]
+            edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            return at, part[edge], np.append(edge, len(part))
+
+        own, own_part, own_edge = by_part(stored)
+        ask, ask_part, ask_edge = by_part(asking)
+        _, i, j = np.intersect1d(own_part, ask_part, assume_unique=True, return_indices=True)
+        got, held = [], 0
+        for x, y in zip(i, j):
+            for p in _compare(u, raw, ids, kinds, ask[ask_edge[y] : ask_edge[y + 1]], own[own_edge[x] : own_edge[x + 1]], least, k):
+                got.append(p)
+                held += len(p[0])
+                if held > 1_000_000:
+                    got = [_best(*(np.concatenate(c) for c in zip(*got)), k)]
+                    held = len(got[0][0])
+                    if held > 500_000:
+                        yield _scored(*got.pop())
                         held = 0
-            if got:
-                yield _pairs(np.unique(np.concatenate(got), axis=0))
+        if got:
+            yield _scored(*_best(*(np.concatenate(c) for c in zip(*got)), k))
 
     return run
 
 
-def _pairs(p: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], names=["a", "b"])
-
-
-def _compare(e, a: int, z: int, wa: int, wz: int, least, margin: float, keep: int, tile: int = 2048):
-    ids = e["id"]
-    for r in range(a, z, tile):
-        rows = np.arange(r, min(z, r + tile))
-        rows = rows[e["ask"][rows] > 0]
-        if not len(rows):
-            continue
-        q = e["v"][rows].astype(np.float32)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for c in range(wa, wz, tile):
-            cols = slice(c, min(wz, c + tile))
-            v = e["v"][cols].astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-            s = q @ v.T
-            if least is not None:
-                i, j = np.nonzero(s >= least - margin)
-                x, y = ids[rows[i]], ids[cols][j]
-                ok = x != y
-                if ok.any():
-                    yield np.stack([x[ok], y[ok]], axis=1)
+def _scored(a, b, s) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "cosine"])
+
+
+def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each a its k best by s, then smaller b; a pair counts once."""
+    by = np.lexsort((b, -s, a))
+    a, b, s = a[by], b[by], s[by]
+    once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))  # equal pairs have equal s
+    a, b, s = a[once], b[once], s[once]
+    at = np.arange(len(a))
+    place = at - np.maximum.accumulate(np.where(np.append(True, a[1:] != a[:-1]), at, 0))
+    ok = place < k
+    return a[ok], b[ok], s[ok]
+
+
+def exact_cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x.astype(np.float64), y.astype(np.float64)))
+    return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+
+
+def _compare(u, raw, ids, kinds, ask: np.ndarray, own: np.ndarray, least, k: int, tile: int = 2048):
+    """The k best of each asking row in each tile of the stored ones, measured exactly."""
+    for r in range(0, len(ask), tile):
+        q = ask[r : r + tile]
+        for c in range(0, len(own), 2 * tile):
+            v = own[c : c + 2 * tile]
+            s = u[q] @ u[v].T
+            same = np.searchsorted(ids[v], ids[q])  # both lie by id
+            hit = np.flatnonzero(ids[v[np.minimum(same, len(v) - 1)]] == ids[q])
+            s[hit, same[hit]] = -2
+            if (kinds[v] != kinds[q[0]]).any() or (kinds[q] != kinds[q[0]]).any():
+                s[kinds[q][:, None] != kinds[v][None, :]] = -2
+            floor = np.full(len(q), -1.5 if least is None else least - TIE, np.float32)
+            if least is None:
+                busy = np.arange(len(q))
             else:
-                s[rows[:, None] == np.arange(cols.start, cols.stop)[None, :]] = -2
-                m = min(keep, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                best.append((np.repeat(ids[rows], m), ids[cols][top].ravel(), np.take_along_axis(s, top, 1).ravel()))
-        if best:
-            x, y, s = (np.concatenate(p) for p in zip(*best))
-            ok = s > -2
-            x, y, s = x[ok], y[ok], s[ok]
-            by = np.lexsort((-s, x))
-            x, y = x[by], y[by]
-            new = np.append(True, x[1:] != x[:-1])
-            place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-            yield np.stack([x[place < keep], y[place < keep]], axis=1)
-
-
-def _cosines(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = matrix(b.column(2), dim).astype(np.float64), matrix(b.column(3), dim).astype(np.float64)
-            x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
-            s = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["a", "b", "cosine"])
+                busy = np.flatnonzero((s >= floor[:, None]).sum(axis=1) > 2 * k)
+            if len(busy) and s.shape[1] > k:
+                kth = -np.partition(-s[busy], k - 1, axis=1)[:, k - 1]
+                floor[busy] = np.maximum(floor[busy], kth - TIE)
+            i, j = np.nonzero(s >= floor[:, None])
+            if not len(i):
+                continue
+            parts = []
+            for lo in range(0, len(i), 500_000):
+                a, b = q[i[lo : lo + 500_000]], v[j[lo : lo + 500_000]]
+                exact = exact_cosines(raw[a], raw[b])
+                ok = slice(None) if least is None else exact >= least
+                parts.append(_best(ids[a[ok]], ids[b[ok]], exact[ok], k))
+            yield tuple(np.concatenate(x) for x in zip(*parts))
 
-    return run
+
+def search_forest(
+    rows: DataFrame, k: int, least: float | None, dim: int, trees: int, probes: int, short: int, share: float, block: int
+) -> DataFrame:
+    """(a, b, cosine): of each asking row its k best stored ones of its kind, as found by each block.
+
+    ``rows``: id, vec, ask, stored, kind (long); ids are unique. A pair may come from several blocks, with equal cosines.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    # The rows of the smallest hashes, chosen in each task by itself: about SAMPLE in all, whatever n.
+    kept = min(1.0, SAMPLE / max(1, n))
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("id"), 11) <= int(kept * (1 << 53))).select("id", "vec").collect()
+    sample.sort(key=lambda r: r["id"])
+    x = unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), np.float32).reshape(-1, dim)) if sample else np.zeros((0, dim), np.float32)
+    index = Trees(fit_centroids(x), dim, trees, probes)
+    most, pages = max(short, int(share * n)), []
+    for depth in range(CHARS):
+        shared = spark.sparkContext.broadcast(index)
+        counts = rows.mapInArrow(_count(shared, dim), "key long, n long, q long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("q").alias("q")).collect()
+        sizes = np.zeros((2, len(index.child) - index.frontier, 2 * dim), np.int64)
+        for r in counts:  # one row for each node and character
+            sizes[:, r["key"] // (2 * dim) - index.frontier, r["key"] % (2 * dim)] = r["n"], r["q"]
+        to_come = cut_pages(index.child, index.frontier, sizes[0], sizes[1], most, short, depth == CHARS - 1, pages)
+        index.frontier = len(index.child)
+        if not len(to_come):
+            break
+        index.child = np.concatenate([index.child, to_come])
+    table = np.array(pages, np.int64).reshape(-1, 2)
+    grid = Grid(table[:, 0], table[:, 1], dim, block, partitions(spark))
+    shared = spark.sparkContext.broadcast((index, grid))
+    forest = rows.mapInArrow(_grow(shared, dim), "block int, packed binary")
+    return forest.repartitionById(grid.blocks, F.col("block")).mapInArrow(_search(dim, least, k), "a long, b long, cosine double")
 
 
 def nearest(
@@ -328,53 +468,43 @@ def nearest(
     k: int = 5,
     least: float | None = None,
     dim: int = 64,
-    trees: int = 15,
-    most: int = 512,
-    short: int = 64,
+    trees: int = 8,
+    probes: int = 8,
+    short: int = 256,
+    share: float = 1 / 64,
     every: int = 1,
-    whole: int = WHOLE,
+    block: int = 200_000,
 ) -> DataFrame:
     """id, neighbour, cosine, rank: the k most similar vectors of each vector (by cosine, then smaller id).
 
-    ``vectors``: id, vec (float32 bytes, dim finite numbers, not all zero). ``least``: only neighbours
-    with at least this cosine are wanted; then every proposed pair above it is kept. Without it each tree
-    proposes its best 4k for each vector. ``every``: only vectors whose id is divisible by it ask, against all.
-    ``whole``: a cell with more strings (and more than ``most``) is cut into pieces; the result does not depend on it.
+    ``vectors``: id, vec (float32 bytes, dim finite numbers, not all zero). ``least``: only neighbours with at
+    least this cosine are wanted. ``every``: only vectors whose id is divisible by it ask, against all.
+    ``probes``: first characters that a search descends from. ``short``: strings of a page at least; ``share``: a
+    longer prefix is taken where a run has more than this share of all vectors. ``block``: strings of a task, or as
+    much work; it changes no result. Cosines are exact; what no page of any tree brings together is missed.
 
     Equal vectors form one class, searched once; each record gets the smallest ids of its neighbours' classes
     and of its own (cosine 1), itself excepted. Nulls are left out. An empty table gives an empty table.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), "vec")
-    own = rows.groupBy("vec").agg(F.min(F.struct((F.col("id") % every != 0).alias("no"), "id")).alias("m")).select(F.col("m.id").alias("rep"), "vec")
-    reps = scratch(own, "reps")
-    n = reps.count()
-    # The rows of the smallest hashes, chosen in each task by itself: about SAMPLE in all, whatever n.
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = reps.where(F.shiftrightunsigned(F.xxhash64("rep"), 11) <= int(share * (1 << 53))).collect()
-    x = unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), np.float32).reshape(-1, dim)) if sample else np.zeros((0, dim), np.float32)
-    shared = spark.sparkContext.broadcast(fit_centroids(x))
-    blocks = partitions(spark)
-    whole, cut = max(whole, most), {}
-    if n > whole:
-        sizes = reps.select("rep", "vec").mapInArrow(_count(shared, dim, trees), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-        cut = cut_cells(np.array([r["key"] for r in sizes], np.int64), np.array([r["n"] for r in sizes], np.int64), whole, most, short)
-    forest = reps.select("rep", "vec").mapInArrow(_grow(shared, dim, trees, blocks, every, cut), "block int, packed binary")
-    found = forest.repartitionById(blocks, F.col("block")).mapInArrow(_search(dim, least, k, most, short), "a long, b long").distinct()
-    left, right = reps.select(F.col("rep").alias("a"), F.col("vec").alias("x")), reps.select(F.col("rep").alias("b"), F.col("vec").alias("y"))
-    exact = found.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_cosines(dim), "a long, b long, cosine double")
-    if least is not None:
-        exact = exact.where(F.col("cosine") >= least)
-    members = rows.join(reps.withColumnRenamed("vec", "v"), F.col("vec") == F.col("v")).select("rep", "id")
-    members = scratch(members, "members")
+    rows = vectors.where("id is not null and vec is not null").select(F.col("id").cast("long").alias("id"), F.md5("vec").alias("key"), "vec")
+    asks = F.col("id") % every == 0
+    classes = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"), F.max(asks).alias("ask")).where("c > 1")
+    classes = scratch(classes.select(F.col("key").alias("_key"), "rep", "ask"), "classes")
+    known = rows.join(classes, F.col("key") == F.col("_key"), "left").select("id", "vec", "rep", F.coalesce("ask", asks).alias("ask"))
+    known = scratch(known, "known")
+    reps = known.where("rep is null or rep = id").select("id", "vec", "ask", F.lit(True).alias("stored"), F.lit(0).cast("long").alias("kind"))
+    members = known.where("rep is not null").select("rep", "id")  # of classes of more than one
+    found = search_forest(reps, k, least, dim, trees, probes, short, share, block)
     # Of a class only its k + 1 smallest ids can be among anyone's nearest k.
-    low = members.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("i") <= k + 1).select(F.col("rep").alias("b"), F.col("id").alias("neighbour"))
-    crowded = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
-    near = exact.unionByName(crowded.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine")))
-    cand = near.join(low, "b").select(F.col("a").alias("rep"), "neighbour", "cosine")
-    best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour")
-    cand = cand.withColumn("i", F.row_number().over(best)).where(F.col("i") <= k + 1).drop("i")
-    each = members.where(F.col("id") % every == 0).join(cand, "rep").where("id <> neighbour")
+    crowd = Window.partitionBy("rep").orderBy("id")
+    low = members.withColumn("i", F.row_number().over(crowd)).where(F.col("i") <= k + 1).select(F.col("rep").alias("_b"), F.col("id").alias("_member"))
+    own = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine"))
+    best = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    near = found.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    near = near.withColumn("i", F.row_number().over(best)).where(F.col("i") <= k).drop("i").unionByName(own)
+    cand = near.join(low, F.col("b") == F.col("_b"), "left").select("a", F.coalesce("_member", "b").alias("neighbour"), "cosine")
+    each = cand.join(members.select(F.col("rep").alias("_r"), F.col("id").alias("_id")), F.col("a") == F.col("_r"), "left")
+    each = each.select(F.coalesce("_id", "a").alias("id"), "neighbour", "cosine").where((F.col("id") % every == 0) & (F.col("id") != F.col("neighbour")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
 

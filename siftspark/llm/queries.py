@@ -83,14 +83,14 @@ def p5_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a cosine of at least 0.955, one among the five nearest of the other."""
-    return forest.close_pairs(forest.vector_table(table(spark, sf_dir, "entities")), 0.955)
+    return forest.close_pairs(forest.vector_table(table(spark, sf_dir, "entities")), 0.955, probes=2)
 
 
 @query
 def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every record whose id is divisible by 20, among all records."""
     vectors = forest.vector_table(table(spark, sf_dir, "entities"))
-    return forest.nearest(vectors, 5, most=16_384, short=4096, every=20, whole=2_000_000).withColumn("cosine", F.round("cosine", 6))
+    return forest.nearest(vectors, 5, every=20).withColumn("cosine", F.round("cosine", 6))
 
 
 @query

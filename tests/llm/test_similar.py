@@ -101,7 +101,7 @@ def test_forest_recall(spark):
     got = {(r.id_a, r.id_b) for r in forest.close_pairs(table, 0.955).collect()}
     assert len(truth & got) >= 0.98 * len(truth) and len(got - truth) <= 3
     hits = 0
-    rows = forest.nearest(table, 5, most=1024, short=256, every=20).collect()
+    rows = forest.nearest(table, 5, every=20).collect()
     by = {}
     for r in rows:
         by.setdefault(r.id, set()).add(r.neighbour)
@@ -111,13 +111,37 @@ def test_forest_recall(spark):
     assert hits >= 0.9 * 5 * len(by)
 
 
-def test_cut_cells_propose_the_same(spark):
+def test_blocks_change_no_result(spark):
+    """Also where every page is a grid of many parts."""
     v, _ = clustered(13, 3, 1200, spread=0.8)
     table = forest.vector_table(entities(spark, v))
-    whole, cut = ({(r.id, r.neighbour) for r in forest.nearest(table, 5, trees=3, most=60, short=120, whole=w).collect()} for w in (10_000, 100))
+    whole, cut = ({(r.id, r.neighbour, r.rank) for r in forest.nearest(table, 5, trees=3, probes=2, short=60, block=b).collect()} for b in (200_000, 40))
     assert whole == cut and len(whole) == 6000
 
 
+def test_recall_at_every_size(spark):
+    """With one set of parameters, also where prefixes of several characters are needed."""
+    v, _ = clustered(21, 2, 2000, spread=0.5)
+    table = forest.vector_table(entities(spark, v))
+    x = np.array(v, np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = {i: set(np.argsort(-s[i])[:5].tolist()) for i in range(2000)}
+    for short, share, least in ((256, 1 / 64, 0.97), (16, 1 / 256, 0.9)):
+        rows = forest.nearest(table, 5, short=short, share=share, every=20).collect()
+        assert sum(r.neighbour in best[r.id] for r in rows) >= least * 500
+
+
+def test_pages_hold_every_string_once():
+    child = np.zeros((2, 8), np.int32)
+    sizes = np.array([[5, 0, 90, 1, 2, 3, 4, 1], [0, 0, 0, 0, 0, 0, 0, 0]])
+    pages = []
+    more = forest.cut_pages(child, 0, sizes, sizes, 20, 6, False, pages)
+    assert len(more) == 1 and child[0].tolist() == [0, 0, -3, 1, 1, 1, 1, 1] and sum(p[0] for p in pages) == 16
+    assert len(forest.cut_pages(child, 0, sizes, sizes, 20, 6, True, [])) == 0
+
+
 def test_forest_edges(spark):
     one = np.eye(64)[0]
     v = [one, one, one * 2, None, np.zeros(64), np.ones(3), np.full(64, np.nan), one, np.eye(64)[1]]
