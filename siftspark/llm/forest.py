@@ -22,6 +22,7 @@ asking ones. So no task depends on a hot prefix, and no result on how the blocks
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ SEED = 20
 TIE = 4e-6  # more than 64 products of unit coordinates lose in float32
 
 
+@lru_cache(4)
 def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     rng = np.random.default_rng(seed)
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0].astype(np.float32) for _ in range(count)])

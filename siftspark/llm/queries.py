@@ -43,18 +43,25 @@ def p1_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of the groups that all records confirm."""
+    """Members of the groups of at least 15 that all records confirm."""
     members, _ = peaks.checked_groups(forest.vector_table(table(spark, sf_dir, "entities")))
     return members.where("sound").select("id", "group_id")
 
 
 @query
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and most typical members of each group."""
+    """Size and most typical members of each group, whatever its size, and whether all records confirm it."""
     members, _ = peaks.checked_groups(forest.vector_table(table(spark, sf_dir, "entities")))
     return peaks.typical(members)
 
 
+@query
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of each live record with a usable vector, the group's size and the record's mean cosine with the others."""
+    members, _ = peaks.checked_groups(forest.vector_table(table(spark, sf_dir, "entities")))
+    return members.select("id", "group_id", "size", F.round("mean", 6).alias("mean"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of live text records of different documents with nearly the same content."""

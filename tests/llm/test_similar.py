@@ -162,6 +162,8 @@ def test_groups_are_found_and_checked(spark):
     v = np.concatenate([v, noise, tiny, [v[0]] * 30])
     mod = ["image" if x == 4 else "text" for x in lab] + ["text"] * 90 + [("image" if lab[0] == 4 else "text")] * 30
     members, groups = peaks.checked_groups(forest.vector_table(entities(spark, v, modality=mod)))
+    members = members.cache()
+    assert members.count() == len(v) and groups.agg({"size": "sum"}).first()[0] == len(v)
     got = {}
     for m in members.where("sound").collect():
         got.setdefault(m.group_id, set()).add(m.id)
@@ -171,7 +173,7 @@ def test_groups_are_found_and_checked(spark):
             want.setdefault(int(x), set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert all(min(m) == g for g, m in got.items())
-    top = peaks.typical(members, 3).collect()
+    top = peaks.typical(members.where("sound"), 3).collect()
     assert all(len(t.typical) == 3 and t.size == len(got[t.group_id]) for t in top)
     assert peaks.checked_groups(forest.vector_table(entities(spark, [])))[0].count() == 0
 
@@ -187,42 +189,61 @@ def test_peaks_in_small_blocks(spark, monkeypatch):
     assert len({r.label for r in labels}) <= 30 and len(labels) == 900
 
 
-def _one_pair_a_level(dim, near):
-    """A level whose blocks part all nodes but two."""
+def test_rounds_join_what_blocks_part(spark, monkeypatch):
+    """With blocks of two nodes the levels leave many pieces; the rounds lead them to one peak a cluster."""
+    monkeypatch.setattr(peaks, "_level", _no_level)
+    v, lab = clustered(11, 2, 300, spread=0.5)
+    labels = {r.id: r.label for r in peaks.peak_labels(forest.vector_table(entities(spark, v))).collect()}
+    assert len(labels) == 300 and all(len({labels[i] for i in range(300) if lab[i] == g}) == 1 for g in (0, 1))
+    assert labels[int(np.flatnonzero(lab == 0)[0])] != labels[int(np.flatnonzero(lab == 1)[0])]
+
+
+def _no_level(dim, near):
+    """A level whose blocks hold one node each."""
 
     def run(batches):
         import pyarrow as pa
 
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got).sort_by("node").select(["node", "modality", "n", "s"])
-            ids = t["node"].to_pylist()
-            yield from t.append_column("peak", pa.array((ids[:1] + ids[:1] + ids[2:])[: len(ids)], pa.int64())).combine_chunks().to_batches()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], b.column(0)], names=["node", "kind", "n", "s", "peak"])
 
     return run
 
 
-def test_levels_go_on_while_they_join(spark, monkeypatch):
-    monkeypatch.setattr(peaks, "_level", _one_pair_a_level)
-    v, _ = clustered(11, 1, 12, spread=0.3)
-    labels = peaks.peak_labels(forest.vector_table(entities(spark, v))).collect()
-    assert len(labels) == 12 and len({r.label for r in labels}) == 1
+def test_follow(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 101)], "node long, peak long")
+    got = {r.node: r.peak for r in peaks.follow(links).collect()}
+    assert got == {i: 20 for i in range(20)} | {100: 101}
+    assert peaks.follow(links.limit(0)).count() == 0
+
+
+def test_heavy_prefixes_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(peaks, "PART", 40)
+    v, lab = clustered(31, 2, 500, spread=0.4)
+    labels = {r.id: r.label for r in peaks.peak_labels(forest.vector_table(entities(spark, v))).collect()}
+    assert len({(labels[i], lab[i]) for i in range(500)}) == 2
+
+
+def test_tiles_of_groups_change_no_result(spark, monkeypatch):
+    v, _ = clustered(33, 6, 300, spread=0.5)
+    table = forest.vector_table(entities(spark, v))
+    one = {(r.id, r.group_id, r.sound) for r in peaks.checked_groups(table)[0].collect()}
+    monkeypatch.setattr(peaks, "TILE", 2)
+    assert one == {(r.id, r.group_id, r.sound) for r in peaks.checked_groups(table)[0].collect()} and any(s for _, _, s in one)
 
 
-def test_small_fragments_make_a_group(spark, monkeypatch):
-    """A group of which the levels left only pairs and single records, beside a chance pair with a member of another."""
+def test_chance_neighbours_take_no_group_away(spark):
+    """A record beside a member of a group, but unlike the others, is let go; the group stays sound."""
     v, lab = clustered(12, 2, 60, spread=0.5)
-    v = np.concatenate([v, [v[lab == 0][0] + 0.7 * np.random.default_rng(4).standard_normal(64) / 8]])
-    first = [int(i) for i in np.flatnonzero(lab == 0)]
-    own = {i: first[0] if lab[i] == 0 else int(i) for i in range(60)} | {60: 60, first[0]: 60}
-    rest = [int(i) for i in np.flatnonzero(lab == 1)]
-    own |= {rest[1]: rest[0], rest[3]: rest[2], rest[4]: rest[2]}
-    monkeypatch.setattr(peaks, "peak_labels", lambda vectors, near, dim: vectors.sparkSession.createDataFrame([(i, x) for i, x in own.items()], "id long, label long"))
+    c = v[lab == 0].mean(axis=0)
+    r = np.random.default_rng(4).standard_normal(64)
+    r -= (r @ c) / (c @ c) * c
+    v = np.concatenate([v, [v[lab == 0][0] + 1.25 * r / np.linalg.norm(r)]])  # 0.62 to that member, some 0.46 to the others
     members, _ = peaks.checked_groups(forest.vector_table(entities(spark, v)))
     got = {}
     for m in members.where("sound").collect():
         got.setdefault(m.group_id, set()).add(m.id)
-    assert set(rest) in got.values() and any(set(first) <= g for g in got.values())
+    assert sorted(map(sorted, got.values())) == sorted([int(i) for i in np.flatnonzero(lab == g)] for g in (0, 1))
 
 
 @pytest.mark.parametrize("n,depth", [(10, 0), (50_001, 1), (10_000_000, 2)])
