@@ -53,15 +53,37 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.near_duplicates(texts(spark, [])).count() == 0
 
 
-def test_signature_separates():
+def test_bit_maps_part_no_pair():
     r = np.random.default_rng(1)
     a = np.sort(r.integers(0, 1 << 44, 250).astype(np.uint64))
     b = np.concatenate([a[:188], r.integers(0, 1 << 44, 62).astype(np.uint64)])  # a quotient of 0.6
     c = r.integers(0, 1 << 44, 250).astype(np.uint64)
-    doc, tok = np.repeat([0, 1, 2], 250), np.concatenate([a, b, c])
-    s0, s1 = neardup._signature(doc, tok, 3)
-    d = neardup._differing(s0[:1], s1[:1], s0[1:], s1[1:])
-    assert d[0] <= neardup.DIFFER < d[1]
+    bits = neardup._bit_map(np.repeat([0, 1, 2], 250), np.concatenate([a, b, c]), 3)
+    most = np.array([62, 62, 62])
+    assert neardup._apart(bits, np.array([0, 0, 1]), np.array([1, 2, 2]), most, most).tolist() == [0]
+
+
+def test_hot_columns_are_cut(spark, monkeypatch):
+    """With parts of three entries, every column of these texts is a grid of cells."""
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(30)]
+    base = " ".join(r.choice(words) for _ in range(40))
+    rows = []
+    for i in range(40):
+        t = base.split(" ")
+        for _ in range(i % 9):
+            t[r.randrange(40)] = r.choice(words)
+        rows.append((i, f"d{i}", " ".join(t)))
+    monkeypatch.setattr(neardup, "_add_tiles", _parts_of_three)
+    got = [(x.id_a, x.id_b) for x in neardup.near_duplicates(texts(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows) and len(got) > 100
+
+
+def _parts_of_three(batches):
+    from siftspark.llm import neardup
+
+    neardup.HOT = 3
+    yield from neardup._add_tiles(batches)
 
 
 VECTORS = "id bigint, modality string, created_at timestamp, deleted boolean, vector array<float>, node string, cosine string"
