@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_of
 from ..session import shared_dir
 
 UPSERT, DELETE = 1, 2
 
 
-
 def parse_changes(oplog: DataFrame) -> DataFrame:
     """The changes of a log: seq, rec_type, ts, phash, id, gone.
 
@@ -98,7 +98,7 @@ def apply_changes(oplog: DataFrame, base: DataFrame | None = None, rows_per_chun
         cuts = sorted(set(changes.approxQuantile("ts", [i / parts for i in range(1, parts)], 0.2 / parts)))
     chunk = F.lit(0)
     if cuts:
-        chunk = F.expr(f"aggregate(array({','.join(f'{int(c)}L' for c in cuts)}), 0, (a, x) -> a + if(ts > x, 1, 0))")
+        chunk = range_of(F.col("ts"), [int(c) for c in cuts])
     changes = changes.withColumn("chunk", chunk)
     w = Window.partitionBy("id", "chunk").orderBy("ts", "late", "seq")
     image = F.struct("seq", "stays")
