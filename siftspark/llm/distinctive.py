@@ -53,12 +53,12 @@ def gl2(tf, dl, cf, n, avgdl, c: float = 1.0):
     return (F.log2(1 + lam) + tfn * F.log2((1 + lam) / lam)) / (tfn + 1)
 
 
-def distinctive_terms(entities: DataFrame, c: float = 1.0, broadcast_rows: int = 300_000) -> DataFrame:
+def distinctive_terms(entities: DataFrame, c: float = 1.0, broadcast_bytes: int = 16_000_000) -> DataFrame:
     """id, term, tf, dl, df, cf, score of every distinct term of every live text record.
 
     Statistics cover all live text records, whatever their length. The table of terms is broadcast
-    only if it has at most ``broadcast_rows`` rows (counted), else joined by shuffle, where a hot term
-    is split by AQE. Nulls: null terms count nowhere; records without terms have no rows but count as
+    only if its terms and counts have at most ``broadcast_bytes`` (measured), else joined by shuffle, where a
+    hot term is split by AQE. Nulls: null terms count nowhere; records without terms have no rows but count as
     records. Ties have equal scores. An empty table gives an empty table.
     """
     text = entities.withColumn("_terms", F.col("terms.term"))
@@ -68,10 +68,10 @@ def distinctive_terms(entities: DataFrame, c: float = 1.0, broadcast_rows: int =
         frequencies(live, F.col("terms")).select("value", F.col("occurrences").alias("cf"), F.col("records").alias("df")), "stats"
     )
     n = max(1, live.count())
-    total, size = stats.agg(F.sum("cf"), F.count("*")).first()
+    total, size = stats.agg(F.sum("cf"), F.sum(F.octet_length("value") + 32)).first()
     avgdl = (total or 0) / n
     stats = stats.withColumnRenamed("value", "term")
-    if size <= broadcast_rows:
+    if (size or 0) <= broadcast_bytes:
         stats = F.broadcast(stats)
     posts = live.mapInArrow(_postings, "id long, term string, tf int, dl int")
     return posts.join(stats, "term").select(

@@ -1,13 +1,13 @@
 """Frequencies of all n-grams by suffix arrays with common-prefix intervals.
 
 Records are cut into blocks (Arrow batches); no record spans two blocks. Each block's values are
-coded as integers and laid end to end with an end mark after every record. Its suffixes are sorted
-by successive rank refinement up to the longest n wanted; two neighbours share a prefix of k values
-when their ranks at depth k agree, so the intervals of depth k are the distinct k-grams:
+coded as integers and laid end to end with an end mark after every record. Its suffixes are put in
+order up to the longest n wanted, by successive rank refinement, with the length of the prefix that each
+shares with the one before. The intervals in which these lengths are at least k are the distinct k-grams:
 
 * occurrences of a k-gram = length of its interval,
-* records with it = that length minus the neighbours inside the interval that lie in one record
-  (positions ascend within an interval, so the copies in a record are neighbours).
+* records with it = that length minus the interval's within-record adjacencies: pairs of suffixes of one
+  record, next to each other among its suffixes in the order, that lie in the interval both.
 
 Blocks hold whole records, so both numbers add up over blocks. A value that occurs in every record
 is one row for each block before the shuffle: no task gathers its occurrences.
@@ -26,33 +26,53 @@ from pyspark.sql import functions as F
 from ..operators.live import live_rows
 
 
-def intervals(codes: np.ndarray, rec: np.ndarray, max_n: int):
-    """For k = 1..max_n: (k, start position of one occurrence, occurrences, records) of each distinct k-gram.
+def suffix_array(codes: np.ndarray, rec: np.ndarray, max_n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start positions of the suffixes in the order of their first max_n values, prefix shared with the one before).
 
-    codes: ints >= 0, record after record; rec: the record of each code.
+    codes: ints >= 0, record after record; rec: the record of each code. A record's end comes before any value;
+    equal suffixes lie by position. A shared prefix is counted up to max_n.
     """
     n = len(codes)
+    last = np.flatnonzero(np.append(rec[1:] != rec[:-1], True))
+    left = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(n) + 1  # values from here to the record's end
+    ranks = [codes.astype(np.int64) + 1]
+    for k in range(2, max_n + 1):
+        nxt = np.zeros(n, np.int64)
+        nxt[: n - k + 1] = codes[k - 1 :].astype(np.int64) + 1
+        nxt[left < k] = 0
+        ranks.append(np.unique(ranks[-1] * (int(codes.max()) + 2) + nxt, return_inverse=True)[1])
+    order = np.argsort(ranks[-1], kind="stable")
+    shared = np.zeros(n, np.int64)
+    alike = np.ones(n - 1, bool)
+    for k, r in enumerate(ranks, 1):
+        alike &= (r[order[1:]] == r[order[:-1]]) & (left[order[1:]] >= k) & (left[order[:-1]] >= k)
+        shared[1:] += alike
+    return order, shared
+
+
+def intervals(codes: np.ndarray, rec: np.ndarray, max_n: int):
+    """For k = 1..max_n: (k, start position of one occurrence, occurrences, records) of each distinct k-gram."""
+    n = len(codes)
     if not n:
         return
-    left = np.full(n, 0, np.int64)  # values from here to the end of the record
+    order, shared = suffix_array(codes, rec, max_n)
     last = np.flatnonzero(np.append(rec[1:] != rec[:-1], True))
-    left = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(n) + 1
-    rank = codes.astype(np.int64)
+    left = (np.repeat(last, np.diff(np.append(-1, last))) - np.arange(n) + 1)[order]
+    # Suffixes of one record that follow each other among its suffixes in the order.
+    by = np.argsort(rec[order], kind="stable")
+    beside = rec[order][by[1:]] == rec[order][by[:-1]]
+    a, b = by[:-1][beside], by[1:][beside]
     for k in range(1, max_n + 1):
-        if k > 1:
-            nxt = np.zeros(n, np.int64)
-            nxt[: n - k + 1] = codes[k - 1 :]
-            key = rank * (int(codes.max()) + 2) + np.where(left >= k, nxt + 1, 0)
-            rank = np.unique(key, return_inverse=True)[1]
-        pos = np.flatnonzero(left >= k)
-        if not len(pos):
+        whole = left >= k
+        if not whole.any():
             return
-        sa = pos[np.argsort(rank[pos], kind="stable")]
-        shared = rank[sa[1:]] == rank[sa[:-1]]  # common prefix of at least k
-        dup = shared & (rec[sa[1:]] == rec[sa[:-1]])
-        start = np.flatnonzero(np.append(True, ~shared))
-        occ = np.diff(np.append(start, len(sa)))
-        yield k, sa[start], occ, occ - np.add.reduceat(np.append(0, dup.astype(np.int64)), start)
+        interval = np.cumsum(shared < k) - 1  # a suffix shorter than k shares less with both neighbours
+        occ = np.bincount(interval, weights=whole).astype(np.int64)
+        both = (interval[a] == interval[b]) & whole[a]
+        dup = np.bincount(interval[a[both]], minlength=len(occ))
+        start = np.flatnonzero(shared < k)
+        ok = occ > 0
+        yield k, order[start[ok]], occ[ok], (occ - dup)[ok]
 
 
 def _counter(max_n: int):
@@ -136,3 +156,9 @@ def _by_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = b.filter(pa.array(kinds == k)).select([1])
             for c in count(iter([own])):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(c.num_rows, k, np.int32)), c.column(0), c.column(2), c.column(3)], names=names)
+
+
+def term_ngrams(entities: DataFrame, max_n: int = 3) -> DataFrame:
+    """gram (its terms joined by a space), n, occurrences, records of all n-grams of the terms of live records."""
+    live = live_rows(entities, [F.col("terms.term").alias("terms")])
+    return frequencies(live, F.col("terms"), max_n).select(F.array_join("value", " ").alias("gram"), "n", "occurrences", "records")

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import range_of
+from ..session import scratch
+
 # Coefficients of algorithm AS 241 (PPND16) for the inverse normal distribution.
 _CENTRAL = (
     (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
@@ -49,20 +52,19 @@ def inverse_normal(p: Column) -> Column:
 def percentile_ranks(long: DataFrame, rows_per_part: int = 1_000_000) -> DataFrame:
     """For (g, name, v): n, better, ties of each distinct v in its (g, name); larger v is better, null comes last.
 
-    Distinct values are counted first (copies fold before the shuffle). Beyond ``rows_per_part`` rows
-    the values are cut into ranges that are ranked one by one and joined by the ranges' totals, so a
-    group with a third of all rows is no single task.
+    Distinct values are counted first (copies fold before the shuffle). The values are cut into ranges of about
+    ``rows_per_part`` rows that are ranked one by one and joined by the ranges' totals, so a group with a third of
+    all rows is no single task.
     """
-    counts = long.groupBy("g", "name", "v").agg(F.count("*").alias("ties"))
-    rows = long.count()
+    counts = scratch(long.groupBy("g", "name", "v").agg(F.count("*").alias("ties")), "counts")
+    rows = counts.count()
+    cuts = min(512, -(-rows // rows_per_part) * 2)
     part = F.lit(0)
     if rows > rows_per_part:
-        cuts = min(512, -(-rows // rows_per_part) * 2)
-        by_name = {r["name"]: r["q"] for r in long.groupBy("name").agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10_000).alias("q")).collect()}
-        for name, q in by_name.items():  # one row for each kind of score
-            q = sorted({x for x in q or [] if math.isfinite(x)})
-            for_name = F.expr(f"aggregate(array({','.join(f'double({x!r})' for x in q)}), 0, (a, x) -> a + if(v > x, 1, 0))") if q else F.lit(0)
-            part = F.when(F.col("name") == name, F.coalesce(for_name, F.lit(-1))).otherwise(part)
+        quantiles = F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10_000).alias("q")
+        for r in counts.groupBy("name").agg(quantiles).collect():  # one row for each kind of score
+            q = sorted({x for x in r["q"] or [] if math.isfinite(x)})
+            part = F.when(F.col("name") == r["name"], F.coalesce(range_of(F.col("v"), q), F.lit(-1))).otherwise(part)
     counts = counts.withColumn("part", part)
     totals = counts.groupBy("g", "name", "part").agg(F.sum("ties").alias("own"))
     over = Window.partitionBy("g", "name")
@@ -78,12 +80,12 @@ def percentile_ranks(long: DataFrame, rows_per_part: int = 1_000_000) -> DataFra
 
 
 def fuse_percentiles(fused: DataFrame, weights: dict[str, float] | None = None, rows_per_part: int = 1_000_000) -> DataFrame:
-    """qid, id, score, position and, of each channel, the rank (1 = best, ties share the best one).
+    """qid, id, score and, of each channel, the place (1 = best, ties share the best one).
 
     Channels: vec_score (a distance), key_score, rrf. A channel's score is missing where its rank is
     null or 0, or the score null or not a number; missing ones tie behind all others. The percentile of
-    rank r among n with t ties is (n - (better + (t - 1) / 2) - 0.5) / n; its normal quantile is averaged
-    by ``weights`` (default 1 each). Order: score descending, then smaller id.
+    a score with ``better`` ones before it and t equal ones among n is (n - better - (t - 1) / 2 - 0.5) / n;
+    its normal quantile is averaged by ``weights`` (default 1 each).
 
     Repeated rows of (qid, id) count once (the largest by value if they differ). Null qid or id: dropped.
     Infinite values rank as such. An empty table gives an empty table; further columns are not read.
@@ -97,26 +99,40 @@ def fuse_percentiles(fused: DataFrame, weights: dict[str, float] | None = None,
         .agg(F.max(F.struct("vec", "key", "rrf")).alias("s"))
     )
     names = ["vec", "key", "rrf"]
+    rows = scratch(rows.select("qid", "id", *[(F.col(f"s.{n}") + F.lit(0.0)).alias(n) for n in names]), "scores")
     long = rows.select(
-        F.col("qid").alias("g"), "id",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col(f"s.{n}") + F.lit(0.0)).alias("v")) for n in names])).alias("x"),
+        F.col("qid").alias("g"), "id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])).alias("x")
     ).select("g", "id", "x.name", "x.v")
     ranks = percentile_ranks(long.select("g", "name", "v"), rows_per_part)
     p = (F.col("n") - F.col("better") - (F.col("ties") - 1) / 2 - 0.5) / F.col("n")
     ranks = ranks.select(F.col("g").alias("rg"), F.col("name").alias("rn"), F.col("v").alias("rv"), "better", inverse_normal(p).alias("z"))
     joined = long.join(ranks, (F.col("g") == F.col("rg")) & (F.col("name") == F.col("rn")) & F.col("v").eqNullSafe(F.col("rv")))
     weight = F.coalesce(*[F.when(F.col("name") == n, F.lit(float(w))) for n, w in weights.items()])
-    out = joined.groupBy(F.col("g").alias("qid"), "id").agg(
+    return joined.groupBy(F.col("g").alias("qid"), "id").agg(
         (F.sum(F.col("z") * weight) / F.lit(sum(weights.values()))).alias("score"),
         *[F.max(F.when(F.col("name") == n, F.col("better") + 1)).alias(f"{n}_place") for n in names],
     )
-    return out
 
 
-def ranked(fused: DataFrame, **kw) -> DataFrame:
-    """fuse_percentiles with the position of each candidate in its request."""
-    out = fuse_percentiles(fused, **kw).withColumn("score", F.round("score", 9))
+def placed(fused: DataFrame, **kw) -> DataFrame:
+    """fuse_percentiles with ``place``: 1 and the number of candidates with a larger score (to nine digits)."""
+    out = scratch(fuse_percentiles(fused, **kw).withColumn("score", F.round("score", 9)), "fused")
     one = out.select(F.col("qid").alias("g"), F.lit("all").alias("name"), F.col("score").alias("v"))
-    places = percentile_ranks(one, kw.get("rows_per_part", 1_000_000)).select(F.col("g").alias("qid"), F.col("v").alias("score"), "better")
+    places = percentile_ranks(one, kw.get("rows_per_part", 1_000_000)).select(F.col("g").alias("qid"), F.col("v").alias("score"), (F.col("better") + 1).alias("place"))
+    return out.join(places, ["qid", "score"])
+
+
+def ranked(fused: DataFrame, **kw) -> DataFrame:
+    """The candidates of each request in one order: by score, then smaller id, with their position."""
     tie = Window.partitionBy("qid", "score").orderBy("id")
-    return out.join(places, ["qid", "score"]).withColumn("position", F.col("better") + F.row_number().over(tie)).drop("better")
+    return placed(fused, **kw).withColumn("position", F.col("place") - 1 + F.row_number().over(tie)).drop("place")
+
+
+def leaders(fused: DataFrame, first: int = 3, **kw) -> DataFrame:
+    """(qid, id) of the candidates among the ``first`` by every channel, taken from the head of the fused order.
+
+    With weights above 0 only a candidate that is better in some channel can have a larger score, and in each of the
+    three at most ``first`` - 1 are better than such a leader: it is among the first 3 (first - 1) + 1 of the order.
+    """
+    head = placed(fused, **kw).where(F.col("place") <= 3 * (first - 1) + 1)
+    return head.where((F.col("vec_place") <= first) & (F.col("key_place") <= first) & (F.col("rrf_place") <= first)).select("qid", "id")

@@ -24,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms that occur at least three times in a live text record and in 2 to 12 of them."""
+    """Scored terms that occur at least three times in a live text record and in 2 to 12 of them."""
     scored = distinctive.distinctive_terms(table(spark, sf_dir, "entities"))
-    return scored.where("tf >= 3 and df between 2 and 12").select("id", "term")
+    return scored.where("score > 0 and tf >= 3 and df between 2 and 12").select("id", "term")
 
 
 @query
@@ -38,7 +38,7 @@ def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most distinctive terms of each record."""
-    return distinctive.top_terms(table(spark, sf_dir, "entities")).select("id", "rank", "term", F.round("score", 6).alias("score"))
+    return distinctive.top_terms(table(spark, sf_dir, "entities")).select("id", "rank", "term", F.round("score", 5).alias("score"))
 
 
 @query
@@ -76,9 +76,8 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidate among the first three by each score."""
-    fused = percentile.fuse_percentiles(table(spark, sf_dir, "fused"))
-    return fused.where("vec_place <= 3 and key_place <= 3 and rrf_place <= 3").select("qid", "id")
+    """The candidate among the first three by each score, from the head of the fused order."""
+    return percentile.leaders(table(spark, sf_dir, "fused"))
 
 
 @query
@@ -112,6 +111,12 @@ def p7_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.value_frequencies(table(spark, sf_dir, "entities"))
 
 
+@query
+def p7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and records of every run of one to three terms."""
+    return ngrams.term_ngrams(table(spark, sf_dir, "entities"), 3)
+
+
 @query
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document."""

@@ -50,8 +50,8 @@ def test_marks(spark):
 def test_distinctive_by_hand(spark):
     docs = {1: ["a", "a", "a", "b"], 2: ["b", "c"], 3: ["b"], 4: []}
     rows = [(i, "text", d, None) for i, d in docs.items()] + [(5, "image", ["a"], None), (6, "text", None, None)]
-    for limit in (10, 0):  # broadcast and shuffle join
-        got = {(r.id, r.term): r for r in distinctive.distinctive_terms(entities(spark, rows), broadcast_rows=limit).collect()}
+    for limit in (10_000, 0):  # broadcast and shuffle join
+        got = {(r.id, r.term): r for r in distinctive.distinctive_terms(entities(spark, rows), broadcast_bytes=limit).collect()}
         assert set(got) == {(1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "b")}
         n, avg = 5, 7 / 5
         for (i, t), r in got.items():
@@ -124,3 +124,40 @@ def test_fused_edges(spark):
     assert got == {1: (2, 2, 2), 2: (1, 1, 1), 3: (2, 2, 2)}
     one = percentile.fuse_percentiles(fused(spark, [(5, 5, 0, 0, None, None, None)])).first()
     assert abs(one.score) < 1e-12
+
+
+def test_suffix_order_and_records():
+    """Against a plain count, also of runs that repeat inside a record in any order."""
+    r = np.random.default_rng(5)
+    recs = [r.integers(0, 3, n).tolist() for n in (7, 1, 12, 4, 9)]
+    codes, rec = np.concatenate([np.array(x) for x in recs]), np.repeat(np.arange(5), [7, 1, 12, 4, 9])
+    order, shared = ngrams.suffix_array(codes, rec, 4)
+    tails = [tuple(recs[rec[i]][i - int(np.flatnonzero(rec == rec[i])[0]) :][:4]) for i in order]
+    assert tails == sorted(tails) and sorted(order) == list(range(len(codes)))
+    for a, b, k in zip(tails, tails[1:], shared[1:]):
+        assert a[:k] == b[:k] and (k == 4 or a[: k + 1] != b[: k + 1] or len(a) == k or len(b) == k)
+    got = {}
+    for k, at, occ, n in ngrams.intervals(codes, rec, 4):
+        for a, o, m in zip(at, occ, n):
+            got[tuple(codes[a : a + k].tolist())] = (o, m)
+    want = {}
+    for i, x in enumerate(recs):
+        for k in range(1, 5):
+            for j in range(len(x) - k + 1):
+                o, m = want.get(tuple(x[j : j + k]), (0, set()))
+                want[tuple(x[j : j + k])] = (o + 1, m | {i})
+    assert got == {g: (o, len(m)) for g, (o, m) in want.items()}
+
+
+def test_leaders_are_at_the_head_of_the_order(spark):
+    r = random.Random(8)
+    rows = [(q, i, 1, 1, r.random(), r.random() * 100, r.randint(0, 6) / 100) for q in range(12) for i in range(25)]
+    fused = spark.createDataFrame(rows, "qid long, id long, vec_rank int, key_rank int, vec_score double, key_score double, rrf double")
+    got = {(x.qid, x.id) for x in percentile.leaders(fused, 8).collect()}
+    want = set()
+    for q in range(12):
+        own = [x for x in rows if x[0] == q]
+        for x in own:
+            if sum(y[4] < x[4] for y in own) < 8 and sum(y[5] > x[5] for y in own) < 8 and sum(y[6] > x[6] for y in own) < 8:
+                want.add((q, x[1]))
+    assert got == want and want
