@@ -1,15 +1,14 @@
 """Encoding of texts by a public byte-level BPE vocabulary.
 
 Boundaries are found without a regular expression. All texts of an Arrow batch are one array of code
-points; a table maps each code point to a class (letter, number, space, other white space, rest). A
-class run is scanned by composing "restart here" with "carry on": both are transition functions on
-the position where the run began, and since the composition of such functions is the later restart,
-the associative scan is a running maximum. Everything else that the public split pattern asks
-(a space joins the word after it, white space leaves its last character to what follows, the English
-contractions) depends on a code point's class, its neighbours and its run's start and end.
+points; a table maps each code point to a class (letter, number, space, other white space, rest), and the
+class with the one or two that follow gives its symbol. A symbol is a transition function on what kind of
+slice is open. Functions are composed associatively: inside stretches of ``STRETCH`` code points side by
+side, then over the stretches by doubling; the state before each stretch then tells, in one more pass,
+where slices start.
 
 The slices are dictionary-encoded, so each distinct slice of a batch is merged once, and slices seen
-before in the worker come from a cache. Byte offsets of the tokens are kept on demand.
+before in the worker come from a cache. Byte offsets of the tokens are kept on demand (token_table).
 """
 
 from __future__ import annotations
@@ -21,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,41 +47,80 @@ def classes() -> np.ndarray:
     return out
 
 
-def boundaries(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """True where a slice starts. cp: code points of all texts, first: True at each text's first one."""
+# What is open before a code point: nothing, letters, numbers, other signs, white space, a space that the next
+# slice begins with, a contraction that lacks one letter or two.
+NONE, LETTERS, NUMBERS, OTHERS, BLANKS, JOINED, ONE_MORE, TWO_MORE = range(8)
+# Symbols: the classes; white space that more or the text's end follows, the last one of a run, a last one that is
+# a space; an apostrophe before s, t, m, d, or before re, ve, ll.
+S_REST, S_LETTER, S_NUMBER, S_BLANK, S_TAIL, S_SPACE, S_SHORT, S_LONG = range(8)
+STRETCH = 64
+
+
+@lru_cache(1)
+def automaton() -> tuple[np.ndarray, np.ndarray]:
+    """(state after, 1 where a slice starts) by symbol and state; symbols from 8 on begin a text."""
+    after, starts = np.zeros((16, 8), np.uint8), np.zeros((16, 8), np.uint8)
+    runs = {S_REST: OTHERS, S_LETTER: LETTERS, S_NUMBER: NUMBERS}
+    for symbol in range(8):
+        for state in range(8):
+            if state in (ONE_MORE, TWO_MORE):
+                to, new = (NONE, 0) if state == ONE_MORE else (ONE_MORE, 0)
+            elif symbol in runs:
+                to, new = runs[symbol], int(state not in (runs[symbol], JOINED))
+            elif symbol == S_BLANK:
+                to, new = BLANKS, int(state != BLANKS)
+            elif symbol in (S_SHORT, S_LONG) and state in (OTHERS, JOINED):
+                to, new = OTHERS, 0
+            else:
+                to, new = {S_TAIL: NONE, S_SPACE: JOINED, S_SHORT: ONE_MORE, S_LONG: TWO_MORE}[symbol], 1
+            after[symbol, state], starts[symbol, state] = to, new
+        after[symbol + 8], starts[symbol + 8] = after[symbol, NONE], 1
+    return after, starts
+
+
+def symbols(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The symbol of each code point. first: True at each text's first one."""
     n = len(cp)
-    if not n:
-        return np.zeros(0, bool)
     cls = classes()[cp]
     white = (cls == SPACE) | (cls == WHITE)
-    kind = np.where(white, WHITE, cls)
-    run = first.copy()
-    run[1:] |= kind[1:] != kind[:-1]  # a class run starts; white space of any kind is one run
+    out = np.array([S_REST, S_LETTER, S_NUMBER, S_BLANK, S_BLANK], np.uint8)[cls]
     end = np.append(first[1:], True)  # the text ends after this one
-    last = np.append(run[1:], True)  # the run ends with this one
-    # White space: the last character of a run, if text follows, parts from those before it.
-    tail = white & last & ~end
-    start = run | tail
-    joins = tail & (cls == SPACE)  # and, being a space, begins the slice that follows
-    after = np.zeros(n, bool)
-    after[1:] = joins[:-1]
-    start &= ~after
-    # Contractions: an apostrophe that begins a slice (so no space joined it), then s t m d or re ve ll.
-    quote = np.flatnonzero((cp == 0x27) & run & ~after)
+    tail = white & ~end & np.append(~white[1:], False)
+    out[tail] = np.where(cls[tail] == SPACE, S_SPACE, S_TAIL)
+    quote = np.flatnonzero((cp == 0x27) & ~end)
     if len(quote):
-        pad = np.append(cp, np.zeros(2, cp.dtype))
-        ends = np.append(end, [True, True])
-        a, b = pad[quote + 1], pad[quote + 2]
-        open1 = ~ends[quote]
-        open2 = open1 & ~ends[np.minimum(quote + 1, n)]
-        one = open1 & np.isin(a, [0x73, 0x74, 0x6D, 0x64])
-        two = open2 & (((a == 0x72) & (b == 0x65)) | ((a == 0x76) & (b == 0x65)) | ((a == 0x6C) & (b == 0x6C)))
-        for hit, size in ((one, 2), (two & ~one, 3)):
-            q = quote[hit]
-            start[q + 1] = False
-            nxt = q + size
-            start[nxt[nxt < n]] = True
-    return start
+        a = cp[quote + 1]
+        out[quote[np.isin(a, [0x73, 0x74, 0x6D, 0x64])]] = S_SHORT
+        more = ~end[quote + 1]
+        b = cp[np.minimum(quote + 2, n - 1)]
+        long = more & (((a == 0x72) & (b == 0x65)) | ((a == 0x76) & (b == 0x65)) | ((a == 0x6C) & (b == 0x6C)))
+        out[quote[long]] = S_LONG
+    return out + np.where(first, 8, 0).astype(np.uint8)
+
+
+def boundaries(cp: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """True where a slice starts. cp: code points of all texts, first: True at each text's first one."""
+    n = len(cp)
+    if not n:
+        return np.zeros(0, bool)
+    after, starts = (t.ravel() for t in automaton())
+    lanes = -(-n // STRETCH)
+    sym = np.zeros(lanes * STRETCH, np.int64)
+    sym[:n] = symbols(cp, first)
+    sym = np.ascontiguousarray(sym.reshape(lanes, STRETCH).T) * 8
+    whole = np.broadcast_to(np.arange(8), (lanes, 8)).copy()  # each stretch's function of the state before it
+    for row in sym:
+        whole = after[row[:, None] + whole]
+    step = 1
+    while step < lanes:  # composition by doubling: afterwards each covers all stretches up to its own
+        whole[step:] = np.take_along_axis(whole[step:], whole[:-step].astype(np.int64), 1)
+        step *= 2
+    state = np.append(NONE, whole[:-1, NONE]).astype(np.int64)
+    out = np.zeros((STRETCH, lanes), bool)
+    for j, row in enumerate(sym):
+        out[j] = starts[row + state]
+        state = after[row + state].astype(np.int64)
+    return out.T.ravel()[:n]
 
 
 @lru_cache(2)
@@ -185,15 +224,29 @@ def _tokens(path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by), np.uint8), np.append(0, ends)
 
 
+def _bytes_of(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all tokens, where each ends in them)."""
+    data, at = _tokens(path)
+    size = at[ids + 1] - at[ids]
+    ends = np.cumsum(size)
+    if not len(ids):
+        return np.zeros(0, np.uint8), ends
+    return data[np.arange(ends[-1]) + np.repeat(at[ids] - (ends - size), size)], ends
+
+
 def _decoder(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, at = _tokens(path)
         for b in batches:
-            out = []
-            for ids in b.column(b.num_columns - 1).to_pylist():
-                ids = np.asarray(ids or [], np.int64)
-                out.append(b"".join(data[at[i] : at[i + 1]].tobytes() for i in ids).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], pa.array(out, pa.string())], names=[*b.schema.names[:-1], "text"])
+            lists = b.column(b.num_columns - 1)
+            n = np.asarray(pc.list_value_length(lists).fill_null(0))
+            raw, ends = _bytes_of(np.asarray(lists.flatten()).astype(np.int64), path)
+            upto = np.append(0, ends)[np.append(0, np.cumsum(n))].astype(np.int64)
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(upto), pa.py_buffer(raw.tobytes())])
+            try:
+                out = texts.cast(pa.large_string()).cast(pa.string())
+            except pa.ArrowInvalid:  # ids that are no whole text
+                out = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns - 1)], out], names=[*b.schema.names[:-1], "text"])
 
     return decode
 
@@ -205,9 +258,22 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id
     return cols.mapInArrow(_decoder(path), f"{schema}, text string")
 
 
-def token_offsets(text: str, path: str = VOCABULARY) -> list[tuple[int, int, int]]:
-    """(id, start byte, end byte) of each token of one text: what decoding by position needs."""
-    ids, _ = encode_batch(pa.array([text]), path)
-    _, at = _tokens(path)
-    ends = np.cumsum(at[ids + 1] - at[ids]) if len(ids) else np.zeros(0, np.int64)
-    return [(int(i), int(e - (at[i + 1] - at[i])), int(e)) for i, e in zip(ids, ends)]
+def token_table(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY) -> DataFrame:
+    """``keep``, ids and ends of each row's whole text: token i is the bytes from ends[i - 1] (0 for the first) to ends[i] of it.
+
+    So a part of a text can be decoded, or a place in it be given its token. Null and empty texts give empty lists.
+    """
+    encoded = encode(df, text_col, keep, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            n = np.asarray(pc.list_value_length(lists))
+            _, ends = _bytes_of(np.asarray(lists.flatten()).astype(np.int64), path)
+            first = np.cumsum(n) - n
+            own = ends - np.repeat(np.append(0, ends)[first], n)
+            at = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(own.astype(np.int32)))], names=[*b.schema.names, "ends"])
+
+    return encoded.mapInArrow(run, f"{schema}, ends array<int>")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from .arrow import slices
 from .bpe import LETTER, NUMBER, classes
 
@@ -28,14 +29,28 @@ from .bpe import LETTER, NUMBER, classes
 LOOK_ALIKE = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԁ": "D", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
-    "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l",
+    "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԁ": "D", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V",
+    "а": "a", "г": "r", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
+    "һ": "h", "ѵ": "v", "ҽ": "e", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ү": "y", "ӏ": "l",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    # Armenian and Cherokee
-    "Օ": "O", "օ": "o", "Ꭺ": "A", "Ꭼ": "E", "Ꮋ": "H", "Ꮇ": "M", "Ꭲ": "T", "Ꮓ": "Z",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "α": "a", "γ": "y", "ι": "i", "ν": "v", "ο": "o", "ρ": "p",
+    "σ": "o", "υ": "u", "ϲ": "c", "ϳ": "j",
+    # Armenian
+    "Լ": "L", "Ս": "U", "Տ": "S", "Օ": "O", "ա": "w", "գ": "q", "զ": "q", "հ": "h", "յ": "j", "ո": "n", "ռ": "n",
+    "ս": "u", "ց": "g", "ք": "f", "օ": "o",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H",
+    "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L",
+    "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B", "ꭵ": "i", "ꮁ": "r", "ꮃ": "w", "ꮓ": "z", "ꮩ": "v",
+    "ꮪ": "s", "ꮯ": "c",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓒ": "d", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F",
+    "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A",
+    "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Coptic
+    "Ⲃ": "B", "Ⲍ": "Z", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T",
+    "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
 }
 # Hyphens beside the ASCII one (others decompose to these).
 HYPHENS = "‐‑⁃˗"
@@ -59,7 +74,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             continue  # ideographs, surrogates and private use stay; Hangul syllables are composed as they are
         ch = chr(c)
         ccc[c] = unicodedata.combining(ch)
-        to = [alike.get(ord(x), ord(x)) for x in unicodedata.normalize("NFKD", ch)]
+        to = [alike[c]] if c in alike else [alike.get(ord(x), ord(x)) for x in unicodedata.normalize("NFKD", ch)]
         if unicodedata.category(ch) == "Cf" or any(a <= c <= b for a, b in HIDDEN):
             to = []
         elif unicodedata.category(ch) == "Zs":
@@ -191,11 +206,17 @@ def look_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: documents of at least ``least`` letters or digits whose texts differ but look the same.
 
-    Only classes with more than one text are joined; copies of one text are no pair among themselves.
+    Copies of one text fold to their smallest id before texts that look the same are paired; members are joined to the
+    pairs of texts at the end. Copies of one text are no pair among themselves.
     """
-    keys = look_keys(df, id_col, text_col).where(F.col("alnum") >= least).select("doc_id", "look", "same")
-    several = keys.groupBy("look", "same").agg(F.count("*").alias("n")).groupBy("look").agg(F.count("*").alias("variants")).where("variants > 1")
-    few = keys.join(several.select("look"), "look")
-    a = few.select("look", F.col("doc_id").alias("doc_a"), F.col("same").alias("sa"))
-    b = few.select("look", F.col("doc_id").alias("doc_b"), F.col("same").alias("sb"))
-    return a.join(b, "look").where("doc_a < doc_b and sa <> sb").select("doc_a", "doc_b").distinct()
+    keys = scratch(look_keys(df, id_col, text_col).where(F.col("alnum") >= least).select("doc_id", "look", "same").distinct(), "looks")
+    texts = keys.groupBy("look", "same").agg(F.min("doc_id").alias("rep"))
+    several = scratch(texts.join(texts.groupBy("look").agg(F.count("*").alias("variants")).where("variants > 1").select("look"), "look"), "variants")
+    a = several.select("look", F.col("rep").alias("a"))
+    b = several.select("look", F.col("rep").alias("b"))
+    pairs = a.join(b, "look").where("a < b").select("a", "b")
+    members = keys.join(several, ["look", "same"]).select("rep", "doc_id")
+    left = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
+    right = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
+    out = pairs.join(left, "a").join(right, "b")
+    return out.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))

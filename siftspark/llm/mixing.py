@@ -8,21 +8,26 @@
    random order. Copies are laid in a random order and cut into blocks of ``block_docs``.
 4. A splitting tree deals the blocks: at each node the shards are halved and the left half draws its
    blocks from the node's by a multivariate hypergeometric draw, down to single shards. So the
-   blocks of each source are dealt exactly, and each shard is a fair sample of the mixture.
+   blocks of each source are dealt exactly, and each shard is a fair sample of the mixture. A node's draw
+   depends on the seed and its shards alone, so every task deals its own range of shards. A shard gets the
+   next blocks of each source, whose order is random.
 5. Within a shard the documents are shuffled.
 
 Orders within a source are found by (source, hash range): each range is ranked alone and moved by the
 totals of the ranges before it, so a source with a third of all rows is no single task. The driver
-holds one number for each source and range, and the tree: bounded by parameters.
+holds the targets and their sources' totals, and nothing that grows with the documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import partitions, scratch
 from .bpe import VOCABULARY, count_tokens
 
 
@@ -41,30 +46,55 @@ def quotas(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total:
     return out
 
 
-def deal(blocks: list[int], shards: int, rng: np.random.Generator) -> np.ndarray:
-    """blocks of each source -> array (shards, sources): how many of each source's blocks each shard gets."""
-    out = np.zeros((shards, len(blocks)), np.int64)
+def deal(blocks: list[int], shards: int, seed: int, first: int = 0, end: int | None = None) -> np.ndarray:
+    """How many of each source's blocks the shards first..end - 1 get: (shards asked for, sources).
 
-    def split(lo: int, hi: int, left: np.ndarray) -> None:
-        if hi - lo == 1 or not left.sum():
-            out[lo] = left
-            return
+    Only the nodes above the shards asked for are visited; whatever part is asked for, a shard gets the same.
+    """
+    end = shards if end is None else end
+    out = np.zeros((max(0, end - first), len(blocks)), np.int64)
+    stack = [(0, shards, np.array(blocks, np.int64))]
+    while stack:
+        lo, hi, left = stack.pop()
+        if hi <= first or lo >= end:
+            continue
+        if hi - lo == 1:
+            out[lo - first] = left
+            continue
         mid = (lo + hi) // 2
-        part = int(left.sum() * (mid - lo) // (hi - lo))
-        draw, rest = [], part
-        for i, m in enumerate(left):  # multivariate hypergeometric, one source after the other
-            others = int(left[i + 1 :].sum())
-            x = int(rng.hypergeometric(int(m), others, rest)) if rest and m else 0
-            draw.append(x)
-            rest -= x
-        got = np.array(draw, np.int64)
-        split(lo, mid, got)
-        split(mid, hi, left - got)
-
-    split(0, shards, np.array(blocks, np.int64))
+        rng = np.random.default_rng([seed, lo, hi])
+        rest, draw = int(left.sum() * (mid - lo) // (hi - lo)), np.zeros_like(left)
+        others = int(left.sum())
+        for i, m in enumerate(left.tolist()):  # multivariate hypergeometric, one source after the other
+            others -= m
+            draw[i] = int(rng.hypergeometric(m, others, rest)) if rest and m else 0
+            rest -= int(draw[i])
+        stack += [(lo, mid, draw), (mid, hi, left - draw)]
     return out
 
 
+def dealt_blocks(spark: SparkSession, blocks: dict[str, int], shards: int, seed: int) -> DataFrame:
+    """(_src, _block, shard) of every block of every source, dealt by ranges of shards in parallel."""
+    sources = sorted(blocks)
+    counts = [blocks[s] for s in sources]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.asarray(b.column(0))
+            if not len(ids):
+                continue
+            got = deal(counts, shards, seed, int(ids[0]), int(ids[-1]) + 1)
+            shard, source = np.nonzero(got)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sources[i] for i in source], pa.string()), pa.array(ids[0] + shard), pa.array(got[shard, source])], names=["_src", "shard", "n"]
+            )
+
+    per = spark.range(0, shards, numPartitions=min(shards, partitions(spark))).mapInArrow(run, "_src string, shard long, n long")
+    ends = F.sum("n").over(Window.partitionBy("_src").orderBy("shard"))  # one row for each shard
+    per = per.withColumn("_end", ends).select("_src", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("_end") - F.col("n"), F.col("_end") - 1)).alias("_block"))
+    return per.select("_src", "_block", "shard")
+
+
 def _ordered(df: DataFrame, key: Column, ranges: int, size: Column) -> DataFrame:
     """df with pos (0-based place in its source by key) and before (sizes ahead of it), found range by range."""
     df = df.withColumn("_k", key).withColumn("_r", F.shiftrightunsigned("_k", 64 - int(np.log2(ranges))).cast("int"))
@@ -90,14 +120,15 @@ def mix(
     seed: int = 7,
     block_docs: int = 64,
     shard_docs: int = 8192,
-    ranges: int = 64,
+    ranges: int | None = None,
     path: str = VOCABULARY,
 ) -> DataFrame:
     """doc_id, source, copy (1-based), n_tokens, shard, position of every use of a document in the mixture.
 
     ``targets``: source, target_share, max_repeats; a source named twice counts with its first row by
     share. Documents without a target (a null source too) are left out; targets without documents are
-    reported by mixture_report. Documents of no tokens (null, empty) add nothing and are left out.
+    reported by mixture_report. ``ranges``: parts that a source is ordered in, by default one for about every
+    200,000 rows of all; more orders the same. Documents of no tokens (null, empty) add nothing and are left out.
     Shares are met to within half a document of each source. The same seed gives the same mixture.
     An empty table, or no target that has documents, gives an empty mixture.
     """
@@ -112,8 +143,9 @@ def mix(
     table = spark.createDataFrame(
         [(s, int(p["passes"]), int(p["rest"])) for s, p in plan.items()], "_src string, passes long, rest long"
     )
+    parts = lambda n: ranges or 1 << max(4, (n // 200_000).bit_length())
     base = sized.withColumn("copy", F.lit(0)).join(F.broadcast(table), F.col("source") == F.col("_src")).drop("_src")
-    one = _ordered(base.drop("passes", "rest"), F.xxhash64(F.lit(seed), "doc_id"), ranges, F.col("n_tokens"))
+    one = _ordered(base.drop("passes", "rest"), F.xxhash64(F.lit(seed), "doc_id"), parts(sum(v[1] for v in got.values())), F.col("n_tokens"))
     one = one.join(F.broadcast(table), F.col("source") == F.col("_src"))
     uses = F.col("passes") + ((F.col("before") * 2 + F.col("n_tokens")) < F.col("rest") * 2).cast("long")
     copies = one.withColumn("uses", uses).where("uses > 0").select(
@@ -121,17 +153,10 @@ def mix(
     )
     copies = scratch(copies, "copies")
     n = {r["source"]: r["n"] for r in copies.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    sources = sorted(n)
-    blocks = [-(-n[s] // block_docs) for s in sources]
+    blocks = {s: -(-c // block_docs) for s, c in n.items()}
     shards = max(1, -(-sum(n.values()) // shard_docs))
-    rng = np.random.default_rng(seed)
-    dealt = deal(blocks, shards, rng)
-    rows = []
-    for i, s in enumerate(sources):
-        to = rng.permutation(np.repeat(np.arange(shards), dealt[:, i]))
-        rows += [(s, k, int(x)) for k, x in enumerate(to)]
-    where = spark.createDataFrame(rows, "_src string, _block long, shard int")
-    placed = _ordered(copies, F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), ranges, F.lit(0))
+    where = dealt_blocks(spark, blocks, shards, seed)
+    placed = _ordered(copies, F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), parts(sum(n.values())), F.lit(0))
     placed = placed.withColumn("_b", F.expr(f"pos div {block_docs}"))
     out = placed.join(where, (F.col("source") == F.col("_src")) & (F.col("_b") == F.col("_block")))
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id", "copy"), "doc_id", "copy")

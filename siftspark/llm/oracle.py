@@ -87,5 +87,6 @@ g AS ({_GRAMS}) SELECT gram, n::INT AS n, count(*) AS occurrences, count(DISTINC
     "p5_found": f"{_P5} SELECT qid, id FROM r WHERE a <= 3 AND b <= 3 AND c <= 3",
     "p7_found": f"{_P7} SELECT kind, value, mark FROM m WHERE mark IS NOT NULL",
     "p7_frequencies": f"{_P7} SELECT kind, value, occurrences, records, mark FROM m",
+    "p8_offsets": "SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes FROM documents",
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -129,6 +129,12 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+@query
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document by the end of its last token."""
+    return bpe.token_table(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("bytes"))
+
+
 @query
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a document in the mixture, with its shard and place."""
