@@ -49,33 +49,37 @@ def inverse_normal(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, q * _ratio(F.lit(0.180625) - q * q, _CENTRAL)).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
 
-def percentile_ranks(long: DataFrame, rows_per_part: int = 1_000_000) -> DataFrame:
-    """For (g, name, v): n, better, ties of each distinct v in its (g, name); larger v is better, null comes last.
+def value_places(long: DataFrame, rows_per_part: int = 1_000_000) -> DataFrame:
+    """``long`` (g, name, v and others) with n, better and ties of each row in its (g, name); larger v is better, null comes last.
 
-    Distinct values are counted first (copies fold before the shuffle). The values are cut into ranges of about
-    ``rows_per_part`` rows that are ranked one by one and joined by the ranges' totals, so a group with a third of
-    all rows is no single task.
+    Values are cut into ranges of about ``rows_per_part`` rows that are ranked one by one and joined by the ranges'
+    totals, so a group with a third of all rows is no single task. A range of one value (or of the missing ones) needs
+    no order: its rows are spread.
     """
-    counts = scratch(long.groupBy("g", "name", "v").agg(F.count("*").alias("ties")), "counts")
-    rows = counts.count()
-    cuts = min(512, -(-rows // rows_per_part) * 2)
+    rows = long.count()
     part = F.lit(0)
     if rows > rows_per_part:
-        quantiles = F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10_000).alias("q")
-        for r in counts.groupBy("name").agg(quantiles).collect():  # one row for each kind of score
+        cuts = min(512, -(-rows // rows_per_part) * 2)
+        quantiles = F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 8 * cuts).alias("q")
+        for r in long.groupBy("name").agg(quantiles).collect():  # one row for each kind of score
             q = sorted({x for x in r["q"] or [] if math.isfinite(x)})
-            part = F.when(F.col("name") == r["name"], F.coalesce(range_of(F.col("v"), q), F.lit(-1))).otherwise(part)
-    counts = counts.withColumn("part", part)
-    totals = counts.groupBy("g", "name", "part").agg(F.sum("ties").alias("own"))
+            part = F.when(F.col("name") == r["name"], range_of(F.col("v"), q)).otherwise(part)
+    long = long.withColumn("part", F.when(F.col("v").isNotNull(), part).otherwise(-1))
+    totals = long.groupBy("g", "name", "part").agg(F.count("*").alias("own"), (F.min("v").eqNullSafe(F.max("v"))).alias("flat"))
     over = Window.partitionBy("g", "name")
     totals = totals.withColumn("n", F.sum("own").over(over)).withColumn(
         "above", F.coalesce(F.sum("own").over(over.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    inner = Window.partitionBy("g", "name", "part").orderBy(F.desc_nulls_last("v")).rowsBetween(Window.unboundedPreceding, -1)
+    on = [F.col(c) == F.col(f"_{c}") for c in ("g", "name", "part")]
+    both = long.join(totals.select(*[F.col(c).alias(f"_{c}") for c in ("g", "name", "part")], "own", "flat", "n", "above"), on)
+    both = both.withColumn("_salt", F.when(F.col("flat"), F.spark_partition_id()).otherwise(-1))
+    inner = Window.partitionBy("g", "name", "part", "_salt").orderBy(F.desc("v"))
+    within, same = F.rank().over(inner) - 1, F.count("*").over(inner.rangeBetween(Window.currentRow, Window.currentRow))
     return (
-        counts.withColumn("within", F.coalesce(F.sum("ties").over(inner), F.lit(0)))
-        .join(totals.select("g", "name", "part", "n", "above"), ["g", "name", "part"])
-        .select("g", "name", "v", "n", (F.col("above") + F.col("within")).alias("better"), "ties")
+        both.withColumn("_within", within).withColumn("_same", same)
+        .withColumn("better", F.col("above") + F.when(F.col("flat"), 0).otherwise(F.col("_within")))
+        .withColumn("ties", F.when(F.col("flat"), F.col("own")).otherwise(F.col("_same")))
+        .select(*long.drop("part").columns, "n", "better", "ties")
     )
 
 
@@ -103,23 +107,20 @@ def fuse_percentiles(fused: DataFrame, weights: dict[str, float] | None = None,
     long = rows.select(
         F.col("qid").alias("g"), "id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("v")) for n in names])).alias("x")
     ).select("g", "id", "x.name", "x.v")
-    ranks = percentile_ranks(long.select("g", "name", "v"), rows_per_part)
     p = (F.col("n") - F.col("better") - (F.col("ties") - 1) / 2 - 0.5) / F.col("n")
-    ranks = ranks.select(F.col("g").alias("rg"), F.col("name").alias("rn"), F.col("v").alias("rv"), "better", inverse_normal(p).alias("z"))
-    joined = long.join(ranks, (F.col("g") == F.col("rg")) & (F.col("name") == F.col("rn")) & F.col("v").eqNullSafe(F.col("rv")))
-    weight = F.coalesce(*[F.when(F.col("name") == n, F.lit(float(w))) for n, w in weights.items()])
-    return joined.groupBy(F.col("g").alias("qid"), "id").agg(
-        (F.sum(F.col("z") * weight) / F.lit(sum(weights.values()))).alias("score"),
-        *[F.max(F.when(F.col("name") == n, F.col("better") + 1)).alias(f"{n}_place") for n in names],
-    )
+    each = value_places(long, rows_per_part).select("g", "id", "name", "better", inverse_normal(p).alias("z"))
+    pick = lambda n, c: F.max(F.when(F.col("name") == n, F.col(c)))
+    wide = each.groupBy(F.col("g").alias("qid"), "id").agg(*[pick(n, "z").alias(f"{n}_z") for n in names], *[(pick(n, "better") + 1).alias(f"{n}_place") for n in names])
+    score = sum((F.col(f"{n}_z") * float(weights[n]) for n in names), F.lit(0.0)) / F.lit(sum(weights.values()))
+    return wide.select("qid", "id", score.alias("score"), *[f"{n}_place" for n in names])
 
 
 def placed(fused: DataFrame, **kw) -> DataFrame:
     """fuse_percentiles with ``place``: 1 and the number of candidates with a larger score (to nine digits)."""
-    out = scratch(fuse_percentiles(fused, **kw).withColumn("score", F.round("score", 9)), "fused")
-    one = out.select(F.col("qid").alias("g"), F.lit("all").alias("name"), F.col("score").alias("v"))
-    places = percentile_ranks(one, kw.get("rows_per_part", 1_000_000)).select(F.col("g").alias("qid"), F.col("v").alias("score"), (F.col("better") + 1).alias("place"))
-    return out.join(places, ["qid", "score"])
+    out = scratch(fuse_percentiles(fused, **kw), "fused")
+    one = out.withColumnRenamed("qid", "g").withColumn("name", F.lit("all")).withColumn("v", F.round("score", 9))
+    got = value_places(one, kw.get("rows_per_part", 1_000_000))
+    return got.select(F.col("g").alias("qid"), "id", F.col("v").alias("score"), (F.col("better") + 1).alias("place"), "vec_place", "key_place", "rrf_place")
 
 
 def ranked(fused: DataFrame, **kw) -> DataFrame:
