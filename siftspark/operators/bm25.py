@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import distinct_terms, term_bag
-from .knn import first_k
+from ..session import scratch
+from .knn import first_k, query_blocks
 from .live import top_k
 
 K1, B = 1.5, 0.75
@@ -67,8 +68,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, deleted: DataFrame | None =
     return asked.join(scored, "term").groupBy("qid", "id").agg(F.sum("s").alias("score"))
 
 
-QUERY_BLOCK = 2048  # queries scored at a time
-DOC_BLOCK = 1024
+QUERY_BLOCK = 32_768  # queries collected and scored at a time
+QUERY_TILE, DOC_TILE = 2048, 1024  # of the scores that a task holds
 
 
 def bm25_top_k(
@@ -77,46 +78,48 @@ def bm25_top_k(
     """(qid, id, score, rank): the k best documents of each query by score (to ``digits``), ties by id; k <= 0 means 10.
 
     The scores are those of bm25_scores(). There, every pair of a query and a document with a common term is a
-    row; here a task scores its documents against all queries in blocks and sends the k best of each query on.
-    The driver holds the stated queries' terms and their document frequencies, in blocks of QUERY_BLOCK queries.
+    row; here a task scores its documents against the queries in tiles and sends the k best of each query on. A column
+    ``k`` of the queries goes before the argument. The terms of queries and their document frequencies are joined where
+    they lie; the driver collects them in blocks of QUERY_BLOCK queries, each one scan of the documents.
     """
     spark = docs.sparkSession
     k = k if k > 0 else 10
     alive = docs if deleted is None else docs.join(deleted.select("id").distinct(), "id", "left_anti")
     n, avgdl = corpus_stats(docs if stats_include_deleted else alive).first()
-    asked = queries.where("qid is not null").select("qid", F.explode(distinct_terms(F.col("query"))).alias("term"))
-    df = alive.select(F.explode(F.array_distinct("ts")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").count()
-    known = {r["term"]: float(np.log((n - r["count"] + 0.5) / (r["count"] + 0.5) + 1)) for r in df.collect()}  # of asked terms
-    by_query: dict[int, set[str]] = {}
-    for r in asked.collect():
-        if r["term"] in known:
-            by_query.setdefault(r["qid"], set()).add(r["term"])
-    qids = sorted(by_query)
+    own_k = F.greatest(F.coalesce(F.col("k").cast("int"), F.lit(k)), F.lit(1)) if "k" in queries.columns else F.lit(k)
+    asked = queries.where("qid is not null").select("qid", own_k.alias("k"), F.explode(distinct_terms(F.col("query"))).alias("term"))
+    df = alive.select(F.explode(F.array_distinct("ts")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    known = asked.join(df, "term").groupBy("qid", "k").agg(F.collect_list(F.struct("term", "df")).alias("ts"))  # the terms of one query
+    known = scratch(known, "asked")
     out = None
-    for lo in range(0, max(1, len(qids)), QUERY_BLOCK):
-        own = qids[lo : lo + QUERY_BLOCK]
-        words = sorted({t for q in own for t in by_query[q]})
+    for part in query_blocks(known, "qid", QUERY_BLOCK):
+        part.sort(key=lambda r: (-r["k"], r["qid"]))
+        dfs = {t["term"]: t["df"] for r in part for t in r["ts"]}
+        words = sorted(dfs)
         at = {t: i for i, t in enumerate(words)}
-        pairs = sorted((at[t], i) for i, q in enumerate(own) for t in by_query[q])
-        shared = spark.sparkContext.broadcast(
-            (np.array(own, np.int64), words, np.array([known[t] for t in words]), np.bincount([p[0] for p in pairs], minlength=len(words)), np.array([p[1] for p in pairs], np.int64))
-        )
-        part = alive.select(F.col("id").cast("long").alias("id"), "ts").mapInArrow(_score(shared, k, digits, avgdl, k1, b), "qid long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top_k(out, ["qid"], [F.desc("score"), F.asc("id")], k)
-
-
-def _score(shared, k: int, digits: int, avgdl: float, k1: float, b: float):
+        idfs = np.array([float(np.log((n - dfs[t] + 0.5) / (dfs[t] + 0.5) + 1)) for t in words])
+        tiles = []
+        for lo in range(0, len(part), QUERY_TILE):
+            own = part[lo : lo + QUERY_TILE]
+            pairs = sorted((at[t["term"]], i) for i, r in enumerate(own) for t in r["ts"])
+            fan = np.bincount([p[0] for p in pairs], minlength=len(words))
+            tiles.append((np.array([r["qid"] for r in own], np.int64), np.array([r["k"] for r in own], np.int64), fan, np.array([p[1] for p in pairs], np.int64)))
+        shared = spark.sparkContext.broadcast((words, idfs, tiles))
+        got = alive.select(F.col("id").cast("long").alias("id"), "ts").mapInArrow(_score(shared, digits, avgdl, k1, b), "qid long, id long, score double")
+        out = got if out is None else out.unionByName(got)
+    top = top_k(out, ["qid"], [F.desc("score"), F.asc("id")], k)
+    return top if "k" not in queries.columns else top.join(known.select("qid", F.col("k").alias("_k")), "qid").where(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+def _score(shared, digits: int, avgdl: float, k1: float, b: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, words, weights, fan, of = shared.value
-        if not len(qids):
-            return
+        words, weights, tiles = shared.value
         known = pa.array(words, pa.string())
-        begin = np.cumsum(fan) - fan
-        best_s, best_i = np.full((len(qids), 0), np.inf), np.zeros((len(qids), 0), np.int64)  # scores negated: smaller is better
+        # Scores negated: smaller is better.
+        best = [(np.full((len(t[0]), 0), np.inf), np.zeros((len(t[0]), 0), np.int64)) for t in tiles]
         for whole in batches:
-            for lo in range(0, whole.num_rows, DOC_BLOCK):
-                part = whole.slice(lo, DOC_BLOCK)
+            for lo in range(0, whole.num_rows, DOC_TILE):
+                part = whole.slice(lo, DOC_TILE)
                 ids, lists = np.asarray(part.column(0)), part.column(1)
                 code = pc.index_in(lists.flatten(), value_set=known)
                 doc = np.asarray(pc.list_parent_indices(lists)).astype(np.int64)
@@ -127,17 +130,27 @@ def _score(shared, k: int, digits: int, avgdl: float, k1: float, b: float):
                     continue
                 d, t = key // len(words), key % len(words)
                 w = weights[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[d] / avgdl))
-                many = fan[t]
-                q = of[np.arange(many.sum()) + np.repeat(begin[t] - (np.cumsum(many) - many), many)]
-                score = np.bincount(q * len(ids) + np.repeat(d, many), np.repeat(w, many), len(qids) * len(ids)).reshape(len(qids), len(ids))
-                s = np.concatenate([best_s, np.where(score > 0, -np.round(score, digits), np.inf)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, score.shape)], axis=1)
-                if s.shape[1] > k:
-                    top = first_k(s, i, k)
-                    s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-                best_s, best_i = s, i
-        q, j = np.nonzero(np.isfinite(best_s))
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(best_i[q, j]), pa.array(-best_s[q, j])], names=["qid", "id", "score"])
+                for m, (qids, ks, fan, of) in enumerate(tiles):
+                    many = fan[t]
+                    if not many.sum():
+                        continue
+                    begin = np.cumsum(fan) - fan
+                    q = of[np.arange(many.sum()) + np.repeat(begin[t] - (np.cumsum(many) - many), many)]
+                    score = np.bincount(q * len(ids) + np.repeat(d, many), np.repeat(w, many), len(qids) * len(ids)).reshape(len(qids), len(ids))
+                    s, i = np.where(score > 0, -np.round(score, digits), np.inf), np.broadcast_to(ids, score.shape)
+                    k = int(ks.max())
+                    for _ in range(2):  # of these documents, then of all so far
+                        if s.shape[1] > k:
+                            top = first_k(s, i, k)
+                            s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+                        if _ == 0:
+                            s, i = np.concatenate([best[m][0], s], axis=1), np.concatenate([best[m][1], i], axis=1)
+                    best[m] = s, i
+        for (qids, ks, _, _), (s, i) in zip(tiles, best):
+            order = np.lexsort((i, s), axis=1)
+            s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            q, j = np.nonzero(np.isfinite(s) & (np.arange(s.shape[1])[None, :] < ks[:, None]))
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[q]), pa.array(i[q, j]), pa.array(-s[q, j])], names=["qid", "id", "score"])
 
     return run

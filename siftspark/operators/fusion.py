@@ -28,6 +28,8 @@ def rrf_fuse(vector: DataFrame, keyword: DataFrame, params: DataFrame | None = N
     both = vector.select("qid", "id", F.lit(0).alias("ch"), "rank", F.col("score").cast("double").alias("score")).unionByName(
         keyword.select("qid", "id", F.lit(1).alias("ch"), "rank", F.col("score").cast("double").alias("score"))
     )
+    # Asked for, not left to the planner: a union of two rankings that happen to lie by qid isn't taken as partitioned.
+    both = both.repartition("qid", "id")
     pick = lambda ch, f, c: f(F.when(F.col("ch") == ch, F.col(c)))
     wide = both.groupBy("qid", "id").agg(
         pick(0, F.min, "rank").alias("vr"), pick(1, F.min, "rank").alias("kr"), pick(0, F.max, "score").alias("vs"), pick(1, F.max, "score").alias("ks")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .knn import BLOCK_BYTES, query_blocks
 from .live import top_k
 
 GRAPH = "shard int, id long, level int, links array<array<long>>, vector array<float>, deleted boolean, entry boolean"
@@ -175,24 +176,34 @@ def build(entities: DataFrame, dim: int, shards: int, params: HnswParams = HnswP
     return data.groupBy("shard").applyInPandas(lambda key, rows: one(key, rows.sort_values("id")), GRAPH)
 
 
+def _in_shard(shared, k: int, params: HnswParams):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        g = Graph.load(rows, params)
+        return pd.DataFrame([(qid, i, d) for qid, q, e in shared.value for i, d in g.search(q, k, e)], columns=["qid", "id", "dist"])
+
+    return run
+
+
 def search(graph: DataFrame, queries: DataFrame, k: int = 10, ef: int = 0, params: HnswParams = HnswParams(), digits: int = 6) -> DataFrame:
-    """(qid, id, dist, rank) of queries (qid, vector): each shard's k nearest, then the k nearest of all. ef can only widen the beam."""
+    """(qid, id, dist, rank) of queries (qid, vector): each shard's k nearest, then the k nearest of all.
+
+    ef can only widen the beam; a column ``ef`` of the queries goes before the argument. Queries are collected and
+    broadcast in blocks of BLOCK_BYTES; a shard's graph is loaded once for each block.
+    """
     k = k if k > 0 else 10
     spark = graph.sparkSession
-    asked = [(r["qid"], np.array(r["vector"], np.float32)) for r in queries.where("vector is not null").select("qid", "vector").collect()]  # the stated queries
-    shared = spark.sparkContext.broadcast(asked)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        g = Graph.load(rows, params)
-        out = [(qid, i, d) for qid, q in shared.value for i, d in g.search(q, k, ef)]
-        return pd.DataFrame(out, columns=["qid", "id", "dist"])
-
-    found = graph.groupBy("shard").applyInPandas(one, "qid long, id long, dist double").withColumn("dist", F.round("dist", digits))
-    return top_k(found, ["qid"], [F.asc("dist"), F.asc("id")], k)
+    wide = F.coalesce(F.col("ef").cast("int"), F.lit(ef)) if "ef" in queries.columns else F.lit(ef)
+    asked = queries.where("qid is not null and vector is not null").select("qid", F.col("vector").cast("array<float>").alias("vector"), wide.alias("ef"))
+    one = asked.select(F.size("vector")).first()
+    found = None
+    for part in query_blocks(asked, "qid", max(1, BLOCK_BYTES // (4 * (one[0] if one else 1) + 24 * k))):
+        shared = spark.sparkContext.broadcast([(r["qid"], np.array(r["vector"], np.float32), r["ef"]) for r in part])
+        got = graph.groupBy("shard").applyInPandas(_in_shard(shared, k, params), "qid long, id long, dist double")
+        found = got if found is None else found.unionByName(got)
+    return top_k(found.withColumn("dist", F.round("dist", digits)), ["qid"], [F.asc("dist"), F.asc("id")], k)
 
 
 def delete(graph: DataFrame, ids: DataFrame) -> DataFrame:
     """The graph with tombstones: they are passed through and never found."""
     gone = ids.select("id").distinct().withColumn("_gone", F.lit(True))
     return graph.join(gone, "id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone").select("shard", "id", "level", "links", "vector", "deleted", "entry")
-

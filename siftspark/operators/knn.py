@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 from .live import top_k
 
-BLOCK_BYTES = 64 * 1024 * 1024  # queries broadcast at a time
+BLOCK_BYTES = 64 * 1024 * 1024  # of queries, and of what a task keeps for them, at a time
+TILE_ROWS, TILE_QUERIES = 2048, 2048  # of the distances that a task holds
 
 
 def flat_native(queries: DataFrame, entities: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -26,36 +27,53 @@ def flat_native(queries: DataFrame, entities: DataFrame, k: int = 10, metric: st
     return top_k(pairs, ["qid"], [F.asc("dist"), F.asc("id")], k if k > 0 else 10)
 
 
-def _scan(shared, k: int, digits: int):
+def query_blocks(queries: DataFrame, id_col: str, most: int) -> Iterator[list]:
+    """The rows of a table of stated queries, in blocks of about ``most`` that are collected one after the other."""
+    n = queries.count()
+    blocks = max(1, -(-n // most))
+    part = F.pmod(F.xxhash64(id_col), F.lit(blocks))
+    for b in range(blocks):
+        yield queries.where(part == b).collect()
+
+
+def _scan(shared, digits: int):
+    """Queries lie by their k, so a tile of them keeps about as many neighbours as each wants."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q, l2 = shared.value
-        if not len(qids):
-            return
-        best_d = np.full((len(qids), 0), np.inf)
-        best_i = np.zeros((len(qids), 0), np.int64)
+        qids, q, l2, ks = shared.value
+        tiles = [slice(a, min(len(qids), a + TILE_QUERIES)) for a in range(0, len(qids), TILE_QUERIES)]
+        best = [(np.full((t.stop - t.start, 0), np.inf), np.zeros((t.stop - t.start, 0), np.int64)) for t in tiles]
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2048):
-                b = whole.slice(lo, 2048)
+            for lo in range(0, whole.num_rows, TILE_ROWS):
+                b = whole.slice(lo, TILE_ROWS)
                 ids = np.asarray(b.column(0))
                 if not len(ids):
                     continue
                 v = np.asarray(b.column(1).flatten()).astype(np.float64).reshape(len(ids), -1)
-                s = q @ v.T
-                d = 1 - s
-                if l2.any():
+                for n, t in enumerate(tiles):
+                    d = 1 - q[t] @ v.T
                     # Differences, not the expanded square: near neighbours would lose their digits.
-                    for i in np.flatnonzero(l2):
-                        d[i] = np.sqrt(((v - q[i]) ** 2).sum(axis=1))
-                d = np.round(d, digits) + 0.0  # no negative zeros
-                d = np.concatenate([best_d, d], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
-                if d.shape[1] > k:
-                    top = first_k(d, i, k)
-                    d, i = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
-                best_d, best_i = d, i
-        m = best_d.shape[1]
-        if m:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, m)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["qid", "id", "dist"])
+                    for i in np.flatnonzero(l2[t]):
+                        d[i] = np.sqrt(((v - q[t.start + i]) ** 2).sum(axis=1))
+                    d = np.round(d, digits) + 0.0  # no negative zeros
+                    k = int(ks[t].max())
+                    own = np.broadcast_to(ids, d.shape)
+                    if d.shape[1] > k:
+                        top = first_k(d, own, k)
+                        d, own = np.take_along_axis(d, top, 1), np.take_along_axis(own, top, 1)
+                    d, own = np.concatenate([best[n][0], d], axis=1), np.concatenate([best[n][1], own], axis=1)
+                    if d.shape[1] > k:
+                        top = first_k(d, own, k)
+                        d, own = np.take_along_axis(d, top, 1), np.take_along_axis(own, top, 1)
+                    best[n] = d, own
+        for t, (d, own) in zip(tiles, best):
+            m = d.shape[1]
+            if not m:
+                continue
+            order = np.lexsort((own, d), axis=1)
+            d, own = np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
+            keep = np.arange(m)[None, :] < ks[t][:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[t], m)[keep.ravel()]), pa.array(own[keep]), pa.array(d[keep])], names=["qid", "id", "dist"])
 
     return run
 
@@ -75,28 +93,35 @@ def first_k(d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
 def flat_top_k(queries: DataFrame, entities: DataFrame, k: int = 10, metric: str = "cosine", dim: int | None = None, digits: int = 6) -> DataFrame:
     """(qid, id, dist, rank): for each query (qid, vector[, metric]) its k nearest entities (id, vector), ties by id; k <= 0 means 10.
 
-    cosine: 1 - dot, so vectors should be of unit length; l2: Euclid. A column ``metric`` of the queries goes before the
-    argument. Sums are of doubles. Vectors of another length than ``dim`` (default: that of the queries), null or not finite are left out.
-    Each task keeps the k nearest of each query and sends no more. Queries are broadcast in blocks of at most
-    BLOCK_BYTES, whatever their number.
+    cosine: 1 - dot, so vectors should be of unit length; l2: Euclid. Columns ``metric`` and ``k`` of the queries go before the
+    arguments. Sums are of doubles. Vectors of another length than ``dim`` (default: that of the queries), null or not finite are left out.
+    Each task keeps the k nearest of each query and sends no more. Queries are collected and broadcast in blocks: of each,
+    the vectors and the neighbours kept have about BLOCK_BYTES. A task holds TILE_ROWS x TILE_QUERIES distances.
     """
     spark = entities.sparkSession
     k = k if k > 0 else 10
     m = F.col("metric") if "metric" in queries.columns else F.lit(metric)
-    rows = queries.where("vector is not null").select("qid", "vector", (m == "l2").alias("l2")).collect()  # the stated queries
-    dim = dim or (len(rows[0]["vector"]) if rows else 1)
-    rows = [r for r in rows if len(r["vector"]) == dim and np.isfinite(np.array(r["vector"], float)).all()]
+    own_k = F.greatest(F.coalesce(F.col("k").cast("int"), F.lit(k)), F.lit(1)) if "k" in queries.columns else F.lit(k)
+    asked = queries.where("qid is not null and vector is not null").select("qid", "vector", (m == "l2").alias("l2"), own_k.alias("k"))
+    if dim is None:
+        one = asked.select(F.size("vector")).first()
+        dim = one[0] if one else 1
+    asked = asked.where(V.valid(F.col("vector"), dim))
     data = entities.where(V.valid(F.col("vector"), dim)).select(F.col("id").cast("long").alias("id"), "vector")
-    step = max(1, BLOCK_BYTES // (8 * dim))
     out = None
-    for lo in range(0, max(1, len(rows)), step):
-        part = rows[lo : lo + step]
+    for part in query_blocks(asked, "qid", max(1, BLOCK_BYTES // (8 * dim + 16 * k))):
+        part.sort(key=lambda r: (-r["k"], r["qid"]))
         shared = spark.sparkContext.broadcast(
-            (np.array([r["qid"] for r in part], np.int64), np.array([r["vector"] for r in part], np.float64).reshape(len(part), dim), np.array([bool(r["l2"]) for r in part]))
+            (
+                np.array([r["qid"] for r in part], np.int64), np.array([r["vector"] for r in part], np.float64).reshape(len(part), dim),
+                np.array([bool(r["l2"]) for r in part], bool), np.array([r["k"] for r in part], np.int64),
+            )
         )
-        got = data.mapInArrow(_scan(shared, k, digits), "qid long, id long, dist double")
+        got = data.mapInArrow(_scan(shared, digits), "qid long, id long, dist double")
         out = got if out is None else out.unionByName(got)
-    return top_k(out, ["qid"], [F.asc("dist"), F.asc("id")], k)
+    most = asked.select("qid", F.col("k").alias("_k")) if "k" in queries.columns else None
+    top = top_k(out, ["qid"], [F.asc("dist"), F.asc("id")], k)
+    return top if most is None else top.join(most, "qid").where(F.col("rank") <= F.col("_k")).drop("_k")
 
 
 def flat_serial(queries: DataFrame, entities: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..config import EngineConfig
-from ..errors import BAD_REQUEST, NOT_FOUND, EngineError
+from ..errors import BAD_REQUEST, CONFLICT, INTERNAL, NOT_FOUND, EngineError
 from ..functions import text
 from ..functions.embed import Embedder, HashEmbedder, embed_sentences
 from ..functions.image import image_features
@@ -133,6 +135,31 @@ def asset_name(content_hash: Column, mime: Column) -> Column:
     return F.when(valid_hash(content_hash), F.concat(content_hash, ext))
 
 
+def put_assets(files: DataFrame, folder: str) -> DataFrame:
+    """(content_hash, name) of files (content, mime) stored under the name that their bytes' SHA-256 gives.
+
+    Equal files are stored once. The bytes are written by the tasks, as binary Parquet by the hash's first two digits, so
+    one asset is found by reading one small folder; read_asset gives it back.
+    """
+    rows = files.where("content is not null").select(F.sha2("content", 256).alias("content_hash"), F.coalesce("mime", F.lit("")).alias("mime"), "content")
+    rows = rows.dropDuplicates(["content_hash"]).withColumn("name", asset_name(F.col("content_hash"), F.col("mime"))).withColumn("shelf", F.substring("content_hash", 1, 2))
+    try:
+        have = files.sparkSession.read.parquet(folder).select(F.col("content_hash").alias("_h"))
+        rows = rows.join(have, F.col("content_hash") == F.col("_h"), "left_anti")
+    except AnalysisException:  # the first of all
+        pass
+    rows = scratch(rows, "assets")
+    rows.write.mode("append").partitionBy("shelf").parquet(folder)
+    return rows.select("content_hash", "name")
+
+
+def read_asset(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """(name, mime, content) of the asset of a name (a hash of at least 16 digits, with or without extension); no row for any other."""
+    want = name.split(".")[0]
+    rows = spark.read.parquet(folder).where(valid_hash(F.lit(want)) & (F.col("shelf") == want[:2]) & (F.col("content_hash") == want))
+    return rows.select("name", "mime", "content")
+
+
 def find_asset(entities: DataFrame, name: str) -> DataFrame:
     """The entities with the asset of that name (a hash, with or without extension)."""
     want = name.split(".")[0]
@@ -148,15 +175,58 @@ def write_segments(entities: DataFrame, path: str, rows_per_file: int = 1_000_00
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """All segments; files that can't be read are skipped."""
-    return spark.read.schema(ENTITY).option("ignoreCorruptFiles", True).parquet(path)
+    """The rows of a segment; a file that can't be read is an error."""
+    return spark.read.schema(ENTITY).option("ignoreCorruptFiles", False).option("ignoreMissingFiles", False).parquet(path)
+
+
+def read_all(spark: SparkSession, segments: list[str], batches: list[str] = ()) -> DataFrame:
+    """The rows of several segments of one folder (its subfolders segment=...) and of log batches: two scans, whatever their number."""
+    out = None
+    if segments:
+        base = segments[0].rsplit("/", 1)[0]
+        out = spark.read.schema(ENTITY).option("ignoreCorruptFiles", False).option("basePath", base).parquet(*segments).select(*ENTITY.names)
+    if batches:
+        more = spark.read.schema(ENTITY).parquet(*batches).select(*ENTITY.names)
+        out = more if out is None else out.unionByName(more)
+    return spark.createDataFrame([], ENTITY) if out is None else out
+
 
+def readable_segments(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(the rows of a segment's sound files, its files that can't be read), for a recovery that takes what is left.
 
-def rewrite_compacted(spark: SparkSession, path: str, to: str) -> None:
-    """The live rows of ``path``, each id once, written to ``to``; the caller then points at it and may delete the old."""
+    Every file is read once to find out; the driver holds the names of the bad ones.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(conf).exists(root):
+        return spark.createDataFrame([], ENTITY), [path]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+
+    def failing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import pyarrow.parquet as pq
+
+        for f in frames:
+            bad = []
+            for name, data in zip(f["path"], f["content"]):
+                try:
+                    pq.read_table(io.BytesIO(data))
+                except Exception:  # noqa: BLE001 - whatever is wrong with it, it can't be read
+                    bad.append(name)
+            yield pd.DataFrame({"path": pd.Series(bad, dtype=object)})
+
+    bad = [r["path"] for r in files.select("path", "content").mapInPandas(failing, "path string").collect()]
+    if not bad:
+        return read_segments(spark, path), []
+    return spark.read.schema(ENTITY).option("ignoreCorruptFiles", True).parquet(path), bad
+
+
+def rewrite_compacted(spark: SparkSession, paths: list[str], to: str) -> None:
+    """The live rows of ``paths``, each id once, written to ``to``; the caller then points at it and may delete the old."""
     from ..operators.live import current_rows
 
-    rows = read_segments(spark, path)
+    rows = read_all(spark, paths)
     names = [f.name for f in ENTITY.fields if f.name not in ("id", "deleted", "created_at")]
     live = current_rows(rows, [*names, F.col("created_at").alias("_at")]).where("not deleted").withColumnRenamed("_at", "created_at")
     if live.isEmpty():
@@ -165,29 +235,77 @@ def rewrite_compacted(spark: SparkSession, path: str, to: str) -> None:
 
 
 def segment_crc(entities: DataFrame) -> DataFrame:
-    """One row: an order-free checksum of the rows, to compare a segment with its copy."""
-    return entities.agg(F.count("*").alias("rows"), F.bit_xor(F.crc32(F.to_json(F.struct("*")).cast("binary"))).alias("crc"))
+    """One row: rows and an order-free checksum of them, to compare a segment with its copy. It doesn't depend on the session's time zone."""
+    cols = [F.unix_micros(f.name).alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in entities.schema.fields]
+    return entities.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.crc32(F.to_json(F.struct(*cols)).cast("binary"))), F.lit(0)).alias("crc"))
 
 
-def save_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
-    """A small JSON file, written beside and moved into place."""
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, a Hadoop path maker) of a path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, temp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    fs = target.getFileSystem(conf)
-    out = fs.create(temp, True)
+    make = jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(conf), make
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(version, path) of the manifests of a folder, newest first."""
+    fs, make = _hadoop(spark, folder)
+    if not fs.exists(make(folder)):
+        return []
+    found = []
+    for status in fs.listStatus(make(folder)):
+        name = status.getPath().getName()
+        if name.startswith("manifest-") and name.endswith(".json"):
+            found.append((int(name[9:-5]), f"{folder}/{name}"))
+    return sorted(found, reverse=True)
+
+
+def save_manifest(spark: SparkSession, folder: str, manifest: dict, keep: int = 3) -> dict:
+    """The manifest with its new version, saved as a small file of that version's name.
+
+    It is written beside and renamed; the ``keep`` newest versions stay, so at every moment a whole one is there. If
+    another writer took the version, nothing is overwritten and CONFLICT is raised.
+    """
+    manifest = manifest | {"version": manifest.get("version", 0) + 1}
+    fs, make = _hadoop(spark, folder)
+    target, temp = make(f"{folder}/manifest-{manifest['version']:012d}.json"), make(f"{folder}/.manifest-{uuid.uuid4().hex}.tmp")
+    fs.mkdirs(make(folder))
+    out = fs.create(temp, False)
     out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
     out.close()
-    fs.delete(target, False)
-    fs.rename(temp, target)
+    if fs.exists(target) or not fs.rename(temp, target):
+        fs.delete(temp, False)
+        raise EngineError(CONFLICT, f"version {manifest['version']} of the manifest was written by another")
+    for _, old in _manifests(spark, folder)[keep:]:
+        fs.delete(make(old), False)
+    return manifest
 
 
-def load_manifest(spark: SparkSession, path: str) -> dict:
-    """The manifest, or a new one whose counters begin at 1."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(conf).exists(p):
-        return {"next_entity_id": 1, "next_segment_id": 1, "collections": [], "segments": []}
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+def load_manifest(spark: SparkSession, folder: str) -> dict:
+    """The newest manifest that can be read, or a new one whose counters begin at 1 if there has never been one."""
+    there = _manifests(spark, folder)
+    for _, path in there:
+        try:
+            return json.loads(spark.read.text(path, wholetext=True).first()[0])
+        except (ValueError, TypeError):
+            continue
+    if there:
+        raise EngineError(INTERNAL, f"no manifest of {folder} can be read")
+    return {"version": 0, "next_entity_id": 1, "next_segment_id": 1, "collections": [], "segments": [], "history": [], "logged": 0}
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, make = _hadoop(spark, path)
+    return fs.exists(make(path))
+
+
+def log_batches(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the complete batches of a log's folder, in order."""
+    fs, make = _hadoop(spark, folder)
+    if not fs.exists(make(folder)):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(make(folder))]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(make(f"{folder}/{n}/_SUCCESS")))
 
 
 def next_ids(manifest: dict, n: int) -> tuple[int, dict]:
@@ -248,7 +366,7 @@ def append_log(changes: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(OPLOG).option("ignoreCorruptFiles", True).parquet(path)
+    return spark.read.schema(OPLOG).parquet(path)
 
 
 def entity_payload(entities: DataFrame) -> Column:

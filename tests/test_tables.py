@@ -136,15 +136,19 @@ def test_engine_round_trip(spark, engine, tmp_path):
     best = again.search_image(full, v).orderBy("position").first()
     assert best.id == pictures[0].id and best.score > 0.999
     before = {r.id for r in again.entities().where("not deleted").collect()}
+    assert best.channels == ["vector"] and 1 <= len(best.patches) <= 3 and best.patches[0].score >= best.patches[-1].score >= 0.05 and len(best.patches[0].bbox) == 4
+    again.flush()
     again.delete(spark.createDataFrame([(pictures[0].id,)], "id bigint"))
+    again.flush()
     again.compact()
     assert {r.id for r in again.entities().collect()} == before - {pictures[0].id} and again.meta()["segments"] == 1
-    assert again.stats().first().entities == len(before) - 1
+    now = again.stats().first()
+    assert now.entities == len(before) - 1 and now.p99_s >= now.p50_s > 0
     again.create_collection("shelf", 64)
     again.drop_collection("default")
     assert Engine(spark, again.path, again.config).entities().where("not deleted").count() == 0
     again.record_cost("x", 10, 0.5)
-    assert again.cost().first().spent == 0.5
+    assert again.cost().first().spent == 0.5 and Engine(spark, again.path, again.config).cost().first().spent == 0.5
     with pytest.raises(EngineError):
         Engine(spark, str(tmp_path / "e2"), engine.config).compact()
 
@@ -157,3 +161,133 @@ def test_rejected_documents(spark, engine):
 def test_recall_evaluation(spark):
     out = evalrecall.evaluate(spark, 400, 20, 10, dim=64, shards=2)
     assert out["recall_at_k"] >= 0.9 and out["insert_vec_per_s"] > 0
+
+
+def some_docs(spark, first, n):
+    return spark.createDataFrame([(i, f"Chunk number {i} speaks of segments and of queries. It has two sentences.", f"t{i}") for i in range(first, first + n)], "doc_id bigint, text string, title string")
+
+
+def ask(spark, text, index="flat", qid=1):
+    row = (qid, "default", text, 3, None, index, 0, 1.0, 1.0, None, None)
+    return spark.createDataFrame([row], "qid bigint, collection string, query string, top_k int, metric string, index_type string, rrf_k int, vector_weight double, keyword_weight double, modality string, filter string")
+
+
+@pytest.fixture
+def small(spark, tmp_path):
+    return Engine(spark, str(tmp_path / "e"), EngineConfig(dim=64, segment_max_rows=6))
+
+
+def test_small_writes_go_to_the_log_until_a_segment_is_full(spark, small):
+    small.ingest_documents(some_docs(spark, 0, 2))
+    assert [(r.state, r.row_count) for r in small.segments().collect()] == [("growing", 2)]
+    again = Engine(spark, small.path, small.config)  # a process that ended without a flush
+    assert again.entities().count() == 2 and again.manifest["next_entity_id"] == 3
+    again.ingest_documents(some_docs(spark, 10, 5))  # full: 7 rows
+    assert [(r.state, r.row_count, r.reason) for r in again.segments().collect()] == [("persisted", 7, "max_rows")]
+    again.ingest_documents(some_docs(spark, 20, 8))  # a segment at once
+    assert [r.row_count for r in again.segments().collect()] == [7, 8] and sorted(r.id for r in again.entities().collect()) == list(range(1, 16))
+    again.ingest_documents(some_docs(spark, 40, 1))
+    assert again.tick() == {}
+    again.clock = lambda: 1e12
+    assert again.tick()["reason"] == "max_idle" and not again.pending
+    assert [h["reason"] for h in again.manifest["history"]] == ["max_rows", "max_rows", "max_idle"]
+    assert Engine(spark, small.path, small.config).entities().count() == 16 and again.flush() == {}
+
+
+def test_a_torn_log_batch_is_not_read(spark, small):
+    import os
+
+    small.ingest_documents(some_docs(spark, 0, 2))
+    small.ingest_documents(some_docs(spark, 5, 1))
+    os.remove(f"{small.path}/log/{2:012d}/_SUCCESS")
+    again = Engine(spark, small.path, small.config)
+    assert again.entities().count() == 2
+    again.ingest_documents(some_docs(spark, 7, 1))
+    assert again.entities().count() == 3
+
+
+def test_compaction_loses_nothing(spark, small):
+    import glob
+    import os
+
+    small.ingest_documents(some_docs(spark, 0, 6))
+    small.ingest_documents(some_docs(spark, 10, 6))
+    one = glob.glob(f"{small.manifest['segments'][0]['path']}/*/*/*.parquet")[0]
+    whole = open(one, "rb").read()
+    open(one, "wb").write(whole[: len(whole) // 2])
+    for crc in glob.glob(os.path.dirname(one) + "/.*.crc"):
+        os.remove(crc)
+    with pytest.raises(EngineError) as e:
+        small.compact()
+    assert is_code(e.value, 50000) and len(small.manifest["segments"]) == 2 and all(os.path.exists(s["path"]) for s in small.manifest["segments"])
+    bad = small.damaged()
+    assert [b["id"] for b in bad] == [1] and len(bad[0]["files"]) == 1
+    left, files = tables.readable_segments(spark, small.manifest["segments"][0]["path"])
+    assert files and left.count() < 6
+    open(one, "wb").write(whole)
+    assert small.damaged() == [] and small.compact()["row_count"] == 12 and Engine(spark, small.path, small.config).entities().count() == 12
+    os.remove(glob.glob(f"{small.manifest['segments'][0]['path']}/*/*/*.parquet")[0])  # a file that is gone is no empty one
+    assert len(small.damaged()) == 1
+
+
+def test_a_manifest_is_there_at_every_moment(spark, tmp_path):
+    import os
+
+    folder = str(tmp_path / "m")
+    first = tables.load_manifest(spark, folder)
+    for i in range(5):
+        first = tables.save_manifest(spark, folder, first | {"next_entity_id": i})
+    assert tables.load_manifest(spark, folder) == first and first["version"] == 5
+    (tmp_path / "m" / ".manifest-x.tmp").write_text("{")  # a crash before the rename
+    (tmp_path / "m" / "manifest-000000000006.json").write_text('{"ver')  # torn
+    assert tables.load_manifest(spark, folder) == first
+    with pytest.raises(EngineError) as e:  # another writer was faster
+        tables.save_manifest(spark, folder, first)
+    assert is_code(e.value, CONFLICT)
+    for name in os.listdir(folder):
+        if name.startswith("manifest-"):
+            (tmp_path / "m" / name).write_text("")
+    with pytest.raises(EngineError):  # manifests that can't be read are no empty engine
+        tables.load_manifest(spark, folder)
+
+
+def test_hits_have_evidence_and_channels(spark, small):
+    small.ingest_documents(some_docs(spark, 0, 7))
+    hit = small.search_text(ask(spark, "number 3 segments")).orderBy("position").first()
+    assert hit.channels == ["vector", "keyword", "rrf"] and hit.patches is None
+    raw = hit.content.encode()
+    assert {raw[p.start : p.end].decode().lower() for p in hit.term_places} >= {"number", "segments"}
+    assert raw[hit.sentence.start : hit.sentence.end].decode().startswith("Chunk number")
+    assert small.compare_flat(ask(spark, "number 3 segments"), small.search_text(ask(spark, "number 3 segments")), 3).first().recall > 0
+
+
+def test_the_graph_serves_hnsw_requests(spark, small):
+    small.ingest_documents(some_docs(spark, 0, 12))
+    exact = [r.id for r in small.search_text(ask(spark, "number 3 segments")).orderBy("position").collect()]
+    small.build_index(2)
+    again = Engine(spark, small.path, small.config)
+    assert [r.id for r in again.search_text(ask(spark, "number 3 segments", "hnsw")).orderBy("position").collect()] == exact
+    again.ingest_documents(some_docs(spark, 77, 1))  # newer than the graph
+    assert again.search_text(ask(spark, "Chunk number 77", "hnsw")).orderBy("position").first().title == "t77"
+    again.delete(spark.createDataFrame([(exact[0],)], "id bigint"))
+    assert exact[0] not in [r.id for r in again.search_text(ask(spark, "number 3 segments", "hnsw")).collect()]
+
+
+def test_budgeted_answers(spark, small):
+    small.ingest_documents(some_docs(spark, 0, 3))
+    q = spark.createDataFrame([(1, "default", "segments"), (2, "default", "")], "qid bigint, collection string, query string")
+    got = {r.qid: r for r in small.answer(q, lambda s, ctx: s.upper() if s else 1 / 0)[0].collect()}
+    assert got[1].answer == "SEGMENTS" and got[1].ok and not got[2].ok and got[2].answer.startswith(rag.HEADER)
+    small.record_cost("x", 1, 99.0)
+    spent = {r.qid: r for r in small.answer(q, lambda s, ctx: "never")[0].collect()}
+    assert not spent[1].ok and spent[1].answer.startswith(rag.HEADER) and spent[1].error == "budget exhausted"
+
+
+def test_assets_are_stored_once(spark, small):
+    import hashlib
+
+    files = spark.createDataFrame([(b"one", "image/png"), (b"one", "image/png"), (b"two", "x"), (None, "x")], "content binary, mime string")
+    assert small.put_assets(files).count() == 2 and small.put_assets(files).count() == 0
+    name = hashlib.sha256(b"one").hexdigest() + ".png"
+    row = small.asset(name).first()
+    assert bytes(row.content) == b"one" and row.name == name and small.asset("../../etc").count() == 0
