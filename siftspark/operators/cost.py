@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import in_ranges, running
+
 # Prices for a million tokens, in dollars, and the rate to yuan.
 EMBED_PRICE, ANSWER_PRICE, RATE = 0.15, 0.6, 7.2
 ATTEMPTS, FIRST_WAIT_S, MOST_WAIT_S = 3, 0.2, 2.0
@@ -32,8 +34,8 @@ def allowed(ledger: DataFrame, limit: float, estimate: float) -> bool:
 
 def breaker(calls: DataFrame, limit: float, by: list[str], order: list[str]) -> DataFrame:
     """Calls (ok, cny) with ``before`` (spent by earlier ones of the group) and ``open``: true once the limit would be passed."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = calls.withColumn("before", F.coalesce(F.sum(F.when(F.col("ok"), F.col("cny")).otherwise(F.lit(0.0))).over(w), F.lit(0.0)))
+    ok = F.when(F.col("ok"), F.col("cny")).otherwise(F.lit(0.0)).cast("double")
+    out = running(in_ranges(calls, by, order), by, order, ok, "before").select(*calls.columns, "before")
     return out.withColumn("open", F.round(F.col("before") + F.col("cny"), 6) > limit)
 
 

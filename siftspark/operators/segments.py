@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BAD_REQUEST, CONFLICT, NOT_FOUND, EngineError
 from .live import current_rows
+from .ordered import before, in_ranges, running
 
 
 def row_bytes(vector: Column, content: Column, caption: Column, content_hash: Column, patches: Column | None = None) -> Column:
@@ -23,16 +24,18 @@ def row_bytes(vector: Column, content: Column, caption: Column, content_hash: Co
 
 
 def seal_by_rows(log: DataFrame, stream: str, order: str, rows: int = 1000) -> DataFrame:
-    """Log with ``segment``: every ``rows`` rows of a stream fill one, counted from 0."""
-    w = Window.partitionBy(stream).orderBy(order)
-    return log.withColumn("segment", F.floor((F.row_number().over(w) - 1) / rows).cast("int"))
+    """Log with ``segment``: every ``rows`` rows of a stream fill one, counted from 0. A long stream is counted range by range."""
+    ranged = in_ranges(log, [stream], [order])
+    out = running(ranged, [stream], [order], F.lit(1).cast("long"), "_n")
+    return out.withColumn("segment", F.floor(F.col("_n") / rows).cast("int")).select(*log.columns, "segment")
 
 
 def seal_by_idle(log: DataFrame, stream: str, ts: str, order: str, idle_ms: int = 30_000) -> DataFrame:
     """Log with ``segment``: a row that comes ``idle_ms`` or more after the one before begins a new one."""
-    w = Window.partitionBy(stream).orderBy(ts, order)
-    gap = F.coalesce((F.col(ts) - F.lag(ts).over(w) >= idle_ms).cast("int"), F.lit(0))
-    return log.withColumn("_gap", gap).withColumn("segment", F.sum("_gap").over(w).cast("int")).drop("_gap")
+    ranged = before(in_ranges(log, [stream], [ts, order]), [stream], [ts, order], ts, "_was")
+    gap = F.coalesce((F.col(ts) - F.col("_was") >= idle_ms).cast("long"), F.lit(0).cast("long"))
+    out = running(ranged.withColumn("_gap", gap), [stream], [ts, order], F.col("_gap"), "_n")
+    return out.withColumn("segment", (F.col("_n") + F.col("_gap")).cast("int")).select(*log.columns, "segment")
 
 
 def seal(log: DataFrame, stream: str, ts: str, order: str, size: str, max_bytes: int = 4 << 20, max_rows: int = 1000, idle_ms: int = 30_000) -> DataFrame:

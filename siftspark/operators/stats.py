@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import in_ranges, running
+
 
 def live_counts(entities: DataFrame, collections: DataFrame) -> DataFrame:
     """One row: collections, entities, vectors and patches of the live entities (one row an id)."""
@@ -21,11 +23,23 @@ def rate(events: DataFrame, ts: str, group: list[str]) -> DataFrame:
     return events.groupBy(*group).agg(F.count("*").alias("n"), span.alias("span_s")).withColumn("qps", F.when(F.col("span_s") > 0, F.col("n") / F.col("span_s")).otherwise(F.col("n").cast("double")))
 
 
-def pick(values: DataFrame, value: str, group: list[str], index: Column, name: str) -> DataFrame:
-    """The value at a 0-based place of each group's sorted values; the place is a Column of the count ``n``."""
-    w = Window.partitionBy(*group).orderBy(value)
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*group)))
-    return ranked.where(F.col("_i") == index).select(*group, F.col(value).alias(name))
+def pick(values: DataFrame, value: str, group: list[str], places: dict[str, Column]) -> DataFrame:
+    """group and, by name, the value at a 0-based place of the group's sorted values; a place is a Column of their count ``n``.
+
+    Values are sorted in ranges, so a group with most of the rows is no single task.
+    """
+    own = in_ranges(values.where(F.col(value).isNotNull()).select(*group, value), group, [value])
+    ranked = running(own, group, [value], F.lit(1).cast("long"), "_i")
+    n = own.groupBy(*group).agg(F.count("*").alias("n"))
+    for name, place in places.items():
+        n = n.withColumn(f"_at_{name}", place)
+    on = None
+    for c in group:
+        one = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+        on = one if on is None else on & one
+    both = ranked.join(n.select(*[F.col(c).alias(f"_g_{c}") for c in group], *[f"_at_{m}" for m in places]), on)
+    hit = both.where(F.greatest(*[(F.col("_i") == F.col(f"_at_{m}")).cast("int") for m in places], F.lit(0)) == 1)
+    return hit.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == F.col(f"_at_{m}"), F.col(value))).alias(m) for m in places])
 
 
 def latency(events: DataFrame, value: str, group: list[str], order: list[str], last: int = 512) -> DataFrame:
@@ -33,10 +47,9 @@ def latency(events: DataFrame, value: str, group: list[str], order: list[str], l
     recent = Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order])
     own = events.withColumn("_r", F.row_number().over(recent)).where(F.col("_r") <= last).drop("_r")
     n = F.col("n")
-    p50 = pick(own, value, group, F.floor(n / 2), "p50")
-    return p50.join(pick(own, value, group, F.greatest(F.floor(n * 99 / 100) - 1, F.lit(0)), "p99"), group)
+    return pick(own, value, group, {"p50": F.floor(n / 2), "p99": F.greatest(F.floor(n * 99 / 100) - 1, F.lit(0))})
 
 
 def quantile_by_rank(events: DataFrame, value: str, group: list[str], p: float, name: str) -> DataFrame:
     """The sorted values at int((n - 1) p)."""
-    return pick(events, value, group, F.floor((F.col("n") - 1) * p), name)
+    return pick(events, value, group, {name: F.floor((F.col("n") - 1) * p)})

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.changefeed import apply_changes, parse_changes
+from ..operators.changefeed import parse_changes
 from ..schema import OPLOG
+from ..session import delete_path, folders
 
 
 def log_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
@@ -27,24 +28,56 @@ def copy_log(stream: DataFrame, to: str, checkpoint: str):
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
-def maintain_state(stream: DataFrame, log_path: str, state_path: str, checkpoint: str):
-    """After each micro-batch the table (id, seq) of what exists, written as version ``state_path/v=<batch>``.
+def maintain_state(stream: DataFrame, state_path: str, checkpoint: str, keep: int = 3):
+    """After each micro-batch the table of the last changes of every id, as version ``state_path/v=<batch>``; see latest_version.
 
-    Late and repeated changes are right as the state follows from all changes of the log.
+    A version is made of the one before and the batch: the changes of both are folded to one an id, so a batch costs
+    what it and the state hold, not the whole log. Repeated deliveries give the same change with its smallest seq, late
+    ones lose to what is newer. A batch that runs again is made from the same version. The ``keep`` newest stay.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        log = batch.sparkSession.read.schema(OPLOG).parquet(log_path)
-        apply_changes(log).write.mode("overwrite").parquet(f"{state_path}/v={number}")
+        spark = batch.sparkSession
+        own = keyed_changes(batch)
+        there = [v for v in _versions(spark, state_path) if v < number]
+        both = own.unionByName(spark.read.schema(STATE).parquet(f"{state_path}/v={there[-1]}")) if there else own
+        last_changes(both).write.mode("overwrite").parquet(f"{state_path}/v={number}")
+        for v in there[:-keep]:
+            delete_path(spark, f"{state_path}/v={v}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
 
 
+STATE = "id bigint, ts bigint, late int, phash binary, seq bigint, stays boolean"
+
+
+def keyed_changes(log: DataFrame) -> DataFrame:
+    """(id, ts, late, phash, seq, stays) of the changes of a log, deliveries folded to the smallest seq."""
+    rows = parse_changes(log).groupBy("id", "rec_type", "ts", "phash", "gone").agg(F.min("seq").alias("seq"))
+    return rows.select("id", "ts", (F.col("rec_type") == 2).cast("int").alias("late"), "phash", "seq", (~F.col("gone")).alias("stays"))
+
+
+def last_changes(changes: DataFrame) -> DataFrame:
+    """Of each id the changes at its last ts, deletes after upserts; deliveries in different batches are folded first.
+
+    Several with one ts stay, as a later delivery may yet give one of them a smaller seq.
+    """
+    one = changes.groupBy("id", "ts", "late", "phash", "stays").agg(F.min("seq").alias("seq"))
+    last = one.groupBy(F.col("id").alias("_id")).agg(F.max(F.struct("ts", "late")).alias("_m"))
+    return one.join(last, (F.col("id") == F.col("_id")) & (F.struct("ts", "late") == F.col("_m"))).select("id", "ts", "late", "phash", "seq", "stays")
+
+
+def _versions(spark: SparkSession, state_path: str) -> list[int]:
+    return sorted(int(n[2:]) for n in folders(spark, state_path) if n.startswith("v=") and n[2:].isdigit())
+
+
 def latest_version(spark: SparkSession, state_path: str) -> DataFrame:
-    every = spark.read.parquet(state_path)
-    last = every.agg(F.max("v").alias("m"))  # one row
-    return every.join(F.broadcast(last), F.col("v") == F.col("m")).select("id", "seq")
+    """(id, seq) of what exists after the newest complete version."""
+    there = _versions(spark, state_path)
+    if not there:
+        return spark.createDataFrame([], "id bigint, seq bigint")
+    last = spark.read.schema(STATE).parquet(f"{state_path}/v={there[-1]}").groupBy("id").agg(F.max_by("stays", "seq").alias("stays"), F.max("seq").alias("seq"))
+    return last.where("stays").select("id", "seq")
 
 
 def deduplicated(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:

@@ -14,14 +14,34 @@ def append(spark, path, data):
 
 
 def test_state_follows_the_log(spark, tmp_path):
-    src, log, state, ck = (str(tmp_path / x) for x in ("src", "log", "state", "ck"))
+    src, state, ck = (str(tmp_path / x) for x in ("src", "state", "ck"))
+    assert ingest.latest_version(spark, state).count() == 0
     append(spark, src, rows(20, 1))
-    ingest.maintain_state(ingest.log_stream(spark, src), log, state, ck).awaitTermination()
+    ingest.maintain_state(ingest.log_stream(spark, src), state, ck).awaitTermination()
     append(spark, src, [(99, "g", 2, 5_000_000, b"3"), *rows(3, 1)])
-    ingest.maintain_state(ingest.log_stream(spark, src), log, state, ck).awaitTermination()
+    ingest.maintain_state(ingest.log_stream(spark, src), state, ck).awaitTermination()
     assert {r.id: r.seq for r in ingest.latest_version(spark, state).collect()} == {0: 16, 1: 17, 2: 18, 4: 20}
 
 
+def test_state_of_batches_is_that_of_the_whole_log(spark, tmp_path):
+    """Late, repeated and tied changes, dealt to batches in any order."""
+    import random
+
+    from siftspark.operators.changefeed import apply_changes
+
+    r = random.Random(5)
+    src, state, ck = (str(tmp_path / x) for x in ("src", "state", "ck"))
+    changes = [(r.choice([1, 1, 2]), r.randint(1, 6) * 1000, json.dumps({"id": r.randint(1, 8), "x": r.randint(0, 3), "deleted": r.random() < 0.2}).encode()) for _ in range(60)]
+    seqs = list(range(1, 181))
+    r.shuffle(seqs)
+    log = [(s, "f", *r.choice(changes)) for s in seqs]
+    for i in range(4):
+        append(spark, src, log[i::4])
+        ingest.maintain_state(ingest.log_stream(spark, src), state, ck, keep=1).awaitTermination()
+    want = {x.id: x.seq for x in apply_changes(spark.createDataFrame(log, OPLOG)).collect()}
+    assert want and {x.id: x.seq for x in ingest.latest_version(spark, state).collect()} == want
+
+
 def drain(spark, stream, name, ck, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -291,3 +291,42 @@ def test_assets_are_stored_once(spark, small):
     name = hashlib.sha256(b"one").hexdigest() + ".png"
     row = small.asset(name).first()
     assert bytes(row.content) == b"one" and row.name == name and small.asset("../../etc").count() == 0
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_long_streams_are_worked_on_in_ranges(spark, many_ranges):
+    """Against plain loops, with one stream that has most rows and a null one."""
+    import random
+
+    from siftspark.operators import ordered
+
+    r = random.Random(6)
+    rows = [(r.choice(["a"] * 8 + ["b", None]), r.randint(0, 5000), i, r.randint(1, 9)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "s string, t int, o int, z int")
+    ranged = ordered.in_ranges(df, ["s"], ["t", "o"])
+    assert ranged.where("s = 'a'").select("_p").distinct().count() > 1
+    total = {x.o: x.n for x in ordered.running(ranged, ["s"], ["t", "o"], F.col("z"), "n").collect()}
+    was = {x.o: x.w for x in ordered.before(ranged, ["s"], ["t", "o"], "t", "w").collect()}
+    idle = {x.o: x.segment for x in segments.seal_by_idle(df, "s", "t", "o", 9).collect()}
+    by_rows = {x.o: x.segment for x in segments.seal_by_rows(df, "s", "o", 50).collect()}
+    spent = {x.o: (x.before, x.open) for x in cost.breaker(df.select("s", "o", F.lit(True).alias("ok"), F.col("z").cast("double").alias("cny")), 500.0, ["s"], ["o"]).collect()}
+    for s in ("a", "b", None):
+        n, prev, seg = 0, None, 0
+        for x in sorted((x for x in rows if x[0] == s), key=lambda x: (x[1], x[2])):
+            seg += prev is not None and x[1] - prev >= 9
+            assert (total[x[2]], was[x[2]], idle[x[2]]) == (n, prev, seg)
+            n, prev = n + x[3], x[1]
+        n = 0
+        for i, x in enumerate(sorted((x for x in rows if x[0] == s), key=lambda x: x[2])):
+            assert by_rows[x[2]] == i // 50 and spent[x[2]] == (n, n + x[3] > 500)
+            n += x[3]
+    q = {x.s: x.m for x in stats.quantile_by_rank(df, "t", ["s"], 0.9, "m").collect()}
+    for s in ("a", "b", None):
+        own = sorted(x[1] for x in rows if x[0] == s)
+        assert q[s] == own[int((len(own) - 1) * 0.9)]
