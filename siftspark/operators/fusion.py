@@ -47,16 +47,19 @@ def rrf_fuse(vector: DataFrame, keyword: DataFrame, params: DataFrame | None = N
     )
 
 
-def recall_at_k(truth: DataFrame, found: DataFrame, k: int) -> DataFrame:
+def recall_at_k(truth: DataFrame, found: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
     """(qid, recall) for every qid of truth: the share of its first k (qid, id, rank) that are among the first k found.
 
-    k <= 0 gives 0. A qid whose truth is empty isn't in the table; see recall_of_empty for its value, 1.
+    k <= 0 gives 0. ``asked`` (qid): queries that have a row even if their truth is empty, with recall 1.
     """
     if k <= 0:
-        return truth.select("qid").distinct().withColumn("recall", F.lit(0.0))
+        return (truth if asked is None else asked).select("qid").distinct().withColumn("recall", F.lit(0.0))
     t = truth.where(F.col("rank") <= k).select("qid", "id").distinct()
     f = found.where(F.col("rank") <= k).select("qid", "id").distinct().withColumn("hit", F.lit(1))
-    return t.join(f, ["qid", "id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+    out = t.join(f, ["qid", "id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+    if asked is None:
+        return out
+    return asked.select("qid").distinct().join(out, "qid", "left").select("qid", F.coalesce("recall", F.lit(1.0)).alias("recall"))
 
 
 def recall_lists(truth: list, found: list, k: int) -> float:

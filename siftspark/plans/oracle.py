@@ -116,26 +116,56 @@ _LOG = "lg AS (SELECT *, coalesce(octet_length(payload), 0) + 17 AS bytes FROM o
 _SEG = "SELECT log_file, segment::INT AS segment, count(*) AS rows, sum(bytes)::BIGINT AS bytes, min(ts) AS min_ts, max(ts) AS max_ts FROM s GROUP BY ALL"
 _CH = "vec AS (SELECT qid, id, min(vec_rank) AS rank FROM fused WHERE vec_rank > 0 GROUP BY ALL), key AS (SELECT qid, id, min(key_rank) AS rank FROM fused WHERE key_rank > 0 GROUP BY ALL), u AS (SELECT qid, id, min(CASE WHEN c = 0 THEN rank END) AS v, min(CASE WHEN c = 1 THEN rank END) AS k FROM (SELECT *, 0 AS c FROM vec UNION ALL SELECT *, 1 FROM key) GROUP BY ALL)"
 
+_CHUNK = """n AS (SELECT doc_id, text, CASE WHEN length(text) <= 480 THEN 1 ELSE ceil((length(text) - 80) / 400.0)::INT END AS n FROM documents WHERE text IS NOT NULL AND {where}),
+c AS (SELECT doc_id, unnest(range(n))::INT AS chunk_index, text FROM n), p AS (SELECT doc_id, chunk_index, substr(text, chunk_index * 400 + 1, 480) AS content FROM c),
+z AS (SELECT *, coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset FROM p)"""
+
+_EMBED = """WITH f AS (SELECT {id}, 't:' || unnest({terms}) AS name, 1.0::DOUBLE AS w FROM {table}
+  UNION ALL SELECT {id}, 'g:' || unnest(list_transform(range(1, length({text}) - 1), lambda i: substr({text}, i::INT, 3))), 0.4 FROM {table}
+  UNION ALL SELECT {id}, 'raw:' || {text}, 1.2 FROM {table} WHERE length({text}) < 3 AND {text} <> ''),
+u AS (SELECT DISTINCT name FROM f), h AS (SELECT name, {fnv} AS h FROM u),
+a AS (SELECT {id}, (h % 64)::INT AS i, ((h // 131072) % 64)::INT AS j, CASE WHEN h % 2 = 1 THEN -w ELSE w END AS w FROM f JOIN h USING (name)),
+s AS (SELECT {id}, slot, sum(w) AS x FROM (SELECT {id}, i AS slot, w FROM a UNION ALL SELECT {id}, j, w * 0.35 FROM a WHERE i <> j) GROUP BY ALL),
+n AS (SELECT {id}, sqrt(sum(x * x)) AS n FROM s GROUP BY {id}) SELECT {id}, slot, round(x / n, {digits}) AS value FROM s JOIN n USING ({id}) WHERE {keep}
+UNION ALL SELECT {id}, 0, 1.0 FROM {table} WHERE {id} NOT IN (SELECT {id} FROM f)"""
+
 SQL: dict[str, str] = {
+    "ingest_chunks": f"""WITH {_CHUNK.format(where="length(regexp_replace(text, '\\s+', '', 'g')) > 0 AND coalesce(collection, 'default') IN (SELECT name FROM collections)")}
+SELECT doc_id, chunk_index, char_offset, (SELECT coalesce(d.collection, 'default') FROM documents d WHERE d.doc_id = z.doc_id) AS collection, content, 64::INT AS dim FROM z""",
+    "rejected_documents": """SELECT doc_id, error::INT AS error FROM (SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) = 0 THEN 40001
+  WHEN coalesce(collection, 'default') NOT IN (SELECT name FROM collections) THEN 40400 END AS error FROM documents) WHERE error IS NOT NULL""",
+    "engine_recovery": f"""WITH {_CHUNK.format(where="length(regexp_replace(text, '\\s+', '', 'g')) > 0")}
+SELECT count(*) AS rows, count(*) FILTER (doc_id % 3 = 0) AS deleted, count(*) FILTER (doc_id % 3 <> 0) AS compacted,
+  (SELECT max(i) FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id, chunk_index) AS i FROM z) WHERE doc_id % 3 <> 0) AS last_id FROM z""",
+    "get_entities": f"WITH {_CUR} SELECT id, collection, modality FROM cur WHERE NOT deleted AND id IN (SELECT qid FROM requests)",
+    "image_histogram": """WITH c AS (SELECT n_nationkey::INT AS k, (n_nationkey * 37 % 256) / 255.0::DOUBLE AS r, (n_nationkey * 53 % 256) / 255.0::DOUBLE AS g, (n_nationkey * 91 % 256) / 255.0::DOUBLE AS b FROM nation),
+m AS (SELECT *, greatest(r, g, b) AS v, least(r, g, b) AS lo FROM c), d AS (SELECT *, v - lo AS d FROM m),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0 WHEN v = r THEN ((g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END) / 6 WHEN v = g THEN ((b - r) / d + 2) / 6 ELSE ((r - g) / d + 4) / 6 END AS hue, CASE WHEN v = 0 THEN 0 ELSE d / v END AS sat FROM d)
+SELECT k, (least(floor(hue * 8), 7) * 32 + least(floor(sat * 8), 7) * 4 + least(floor(v * 4), 3))::INT AS bin, 1::INT AS bins, 24::INT AS width, 9::INT AS patches FROM h""",
+    "image_ingest": "SELECT name, 160::INT AS width, 160::INT AS height, 'image/png' AS mime, 9::INT AS patches, 1.0::DOUBLE AS norm FROM (VALUES ('gradient'), ('stripes'), ('square'), ('grid')) t(name)",
+    "patch_evidence": f"""WITH {_CUR}, v AS (SELECT id, {_UNIT} AS v FROM cur WHERE NOT deleted AND modality = 'image' AND {_USABLE}),
+q AS (SELECT id, i::INT AS quarter, list_dot_product(v[i * 16 + 1:i * 16 + 16], v[1:16]) AS s FROM v, range(4) t(i)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, quarter) AS rn FROM q)
+SELECT id, (rn - 1)::INT AS place, round(s, 6) AS score, quarter FROM r WHERE rn <= 3 AND s >= 0.05""",
+    "plan_channels": f"""WITH {_CUR}, {_REQ}, e AS (SELECT id FROM cur WHERE {_USABLE} AND NOT deleted)
+SELECT qid, concat_ws(',', CASE WHEN v THEN 'vector' END, CASE WHEN query <> '' THEN 'keyword' END, CASE WHEN v AND query <> '' THEN 'rrf' END) AS channels
+FROM (SELECT *, qid IN (SELECT id FROM e) AND (coalesce(modality, '') <> 'image' OR query = '') AS v FROM req WHERE error IS NULL)""",
+    "hnsw_reached": "SELECT count(*) AS asked, true AS reached FROM embeddings WHERE vec_id % 20 = 0",
+    "eval_recall": "SELECT 1000::INT AS n, 64::INT AS dim, 20::INT AS queries, 10::INT AS k, true AS pass_recall",
+    "chunk_offsets": f"""WITH {_CUR}, t AS (SELECT * FROM cur WHERE modality = 'text' AND NOT deleted)
+SELECT id, coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset FROM t""",
+    "hash_embed_documents": _EMBED.format(id="doc_id", text="text", table="documents", terms=terms("text"), fnv=_FNV.format(s="name"), digits=5, keep="abs(round(x / n, 5)) >= 0.00002"),
     "p3_found": f"{_P3} SELECT id, seq FROM last WHERE rn = 1 AND NOT gone",
     "oplog_recover": f"WITH {_CHANGES}, l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS rn FROM ch) SELECT id, seq FROM l WHERE rn = 1 AND NOT gone",
     "tokenize_terms": f"SELECT doc_id, array_to_string({terms('text')}, ' ') AS terms FROM documents WHERE text IS NOT NULL",
     "distinct_terms": f"WITH {_Q} SELECT qid, term FROM q",
     "term_stats": f"WITH t AS (SELECT doc_id, unnest({terms('text')}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY term",
     "token_positions": f"WITH {_CUR} SELECT id, t.term AS term, t.start AS start, t.end AS end FROM (SELECT id, unnest(terms) AS t FROM cur WHERE content IS NOT NULL)",
-    "chunk_documents": """WITH n AS (SELECT doc_id, text, CASE WHEN length(text) <= 480 THEN 1 ELSE ceil((length(text) - 80) / 400.0)::INT END AS n FROM documents WHERE text IS NOT NULL),
-c AS (SELECT doc_id, unnest(range(n))::INT AS chunk_index, text FROM n), p AS (SELECT doc_id, chunk_index, substr(text, chunk_index * 400 + 1, 480) AS content FROM c)
-SELECT *, coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset FROM p""",
+    "chunk_documents": f"WITH {_CHUNK.format(where='true')} SELECT * FROM z",
     "split_sentences": f"""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^{_T}]*[{_T}]|[^{_T}]+')) AS text, generate_subscripts(regexp_extract_all(text, '[^{_T}]*[{_T}]|[^{_T}]+'), 1) AS i FROM documents WHERE text IS NOT NULL),
 e AS (SELECT *, sum(octet_length(encode(text))) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM s) SELECT doc_id, (e - octet_length(encode(text)))::INT AS start, e::INT AS end, text FROM e""",
     "fnv_hash_terms": f"WITH t AS (SELECT DISTINCT unnest({terms('query')}) AS term FROM requests), h AS (SELECT term, {_FNV.format(s="('t:' || term)")} AS h FROM t) SELECT term, {_SIGNED} AS hash FROM h",
-    "hash_embed_queries": f"""WITH f AS (SELECT qid, 't:' || unnest({terms('query')}) AS name, 1.0::DOUBLE AS w FROM requests
-  UNION ALL SELECT qid, 'g:' || unnest(list_transform(range(1, length(query) - 1), lambda i: substr(query, i::INT, 3))), 0.4 FROM requests
-  UNION ALL SELECT qid, 'raw:' || query, 1.2 FROM requests WHERE length(query) < 3 AND query <> ''),
-u AS (SELECT DISTINCT name FROM f), h AS (SELECT name, {_FNV.format(s='name')} AS h FROM u),
-a AS (SELECT qid, (h % 64)::INT AS i, ((h // 131072) % 64)::INT AS j, CASE WHEN h % 2 = 1 THEN -w ELSE w END AS w FROM f JOIN h USING (name)),
-s AS (SELECT qid, slot, sum(w) AS x FROM (SELECT qid, i AS slot, w FROM a UNION ALL SELECT qid, j, w * 0.35 FROM a WHERE i <> j) GROUP BY ALL),
-n AS (SELECT qid, sqrt(sum(x * x)) AS n FROM s GROUP BY qid) SELECT qid, slot, round(x / n, 6) AS value FROM s JOIN n USING (qid) WHERE round(x / n, 6) <> 0""",
+    "hash_embed_queries": _EMBED.format(id="qid", text="query", table="requests", terms=terms("query"), fnv=_FNV.format(s="name"), digits=6, keep="round(x / n, 6) <> 0"),
     "parse_tags": "WITH t AS (SELECT doc_id, list_filter(list_transform(coalesce(tags, []), lambda x: trim(x)), lambda x: x <> '') AS t FROM documents) SELECT doc_id, array_to_string(t, '|') AS tags, coalesce(t[1], '') AS first FROM t",
     "answer_excerpts": f"SELECT doc_id, {_CUT.format(s="CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '…' ELSE text END")} AS excerpt FROM documents",
     "vector_pairs": "WITH p AS (SELECT x.vec_id, x.embedding::DOUBLE[] AS a, y.embedding::DOUBLE[] AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1) SELECT vec_id, round(list_dot_product(a, b), 6) AS dot, round(list_distance(a, b), 6) AS l2, round(1 - list_dot_product(a, b), 6) AS cosine_distance, round(1 / (1 + list_distance(a, b)), 6) AS l2_similarity FROM p",

@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import EngineConfig
+from ..engine import Engine
 from ..functions import embed, text, vector as V
-from ..operators import bm25, changefeed, cost, filters, fusion, hnsw, knn, live, rag, search, segments, stats
-from ..session import scratch
+from ..functions.image import image_features
+from ..operators import bm25, changefeed, cost, evalrecall, filters, fusion, hnsw, knn, live, rag, search, segments, stats
+from ..session import scratch, scratch_path
+from ..sources import seed, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIM = 64  # of the test tables' vectors
@@ -484,6 +488,110 @@ def budget_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "user_id", F.round("before", 4).alias("before"), "open")
 
 
+# --- ingestion and the engine -------------------------------------------------------------------
+
+
+@query
+def ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that all documents become."""
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id"))
+    out = tables.ingest_documents(docs, table(spark, sf_dir, "collections"), embed.HashEmbedder(DIM), sentence_vectors=False)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "chunk_index", "char_offset", "collection", "content", F.size("vector").alias("dim"))
+
+
+@query
+def rejected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.rejected_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "collections")).select("doc_id", F.col("error").cast("int").alias("error"))
+
+
+@query
+def engine_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written by one engine and read by another over the same folder, after a delete and a compaction."""
+    path = scratch_path(spark, "engine")
+    one = Engine(spark, path, EngineConfig(dim=DIM))
+    docs = table(spark, sf_dir, "documents").drop("collection")
+    one.ingest_documents(docs)
+    one.flush()
+    third = F.col("doc_id").cast("long") % 3 == 0
+    one.delete(one.entities().where(third).select("id"))
+    one.flush()
+    two = Engine(spark, path, EngineConfig(dim=DIM))
+    before = two.entities().agg(F.count("*").alias("rows"), F.count_if("deleted").alias("deleted"))
+    before = scratch(before, "before")
+    two.compact()
+    after = Engine(spark, path, EngineConfig(dim=DIM)).entities().agg(F.count("*").alias("compacted"), F.max("id").alias("last_id"))
+    return before.crossJoin(after)  # one row each
+
+
+@query
+def get_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live entities that requests name by their number."""
+    ids = table(spark, sf_dir, "requests").select(F.col("qid").alias("id")).distinct()
+    return current(spark, sf_dir, ["collection", "modality"]).where("not deleted").join(ids, "id", "left_semi").select("id", "collection", "modality")
+
+
+@query
+def hash_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embed.hash_embed(F.col("text"), DIM, "double")).alias("slot", "value"))
+    return docs.withColumn("value", F.round("value", 5)).where("abs(value) >= 0.00002")
+
+
+@query
+def image_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour bin of a plain image of each nation's colour, from its descriptor."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"))
+    channel = lambda m: F.lpad(F.hex((F.col("k") * m) % 256), 2, "0")
+    data = F.unhex(F.repeat(F.concat(channel(91), channel(53), channel(37)), 24 * 16))  # blue, green, red
+    image = F.struct(F.lit("").alias("origin"), F.lit(16).alias("height"), F.lit(24).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))
+    px = n.select("k", image_features(image, 1024).alias("f"))
+    bins = F.slice("f.vector", 1, 256)
+    return px.select("k", (F.array_position(bins, F.array_max(bins)) - 1).cast("int").alias("bin"), F.size(F.filter(bins, lambda x: x > 0)).alias("bins"), F.col("f.width").alias("width"), F.size("f.patches").alias("patches"))
+
+
+@query
+def image_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The painted images as entities: size, type, patches, unit length; the folder's file that is no image is left out."""
+    files = seed.image_files(spark, scratch_path(spark, "images"))
+    out = tables.ingest_images(spark, files)
+    norm = F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), 4)
+    return out.select(F.regexp_extract("source_ref", r"([a-z]+)\.png$", 1).alias("name"), "width", "height", "mime", F.size("patches").alias("patches"), norm.alias("norm"))
+
+
+@query
+def patch_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best quarters of each live image's vector, asked by its own first quarter."""
+    rows = current(spark, sf_dir, ["modality", unit_vector()]).where("not deleted and modality = 'image' and vector is not null")
+    part = lambda i: F.slice("vector", i * 16 + 1, 16)
+    patches = F.array(*[F.struct(part(i).alias("vector"), F.array(F.lit(float(i))).alias("bbox")) for i in range(4)])
+    best = search.patch_evidence(patches, part(0), F.lit("cosine"))
+    out = rows.select("id", F.posexplode(best).alias("place", "p")).select("id", "place", F.round("p.score", 6).alias("score"), F.col("p.bbox")[0].cast("int").alias("quarter"))
+    return out
+
+
+@query
+def plan_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channels that each request asks."""
+    ents = current(spark, sf_dir, [unit_vector()])
+    req = _requests(spark, sf_dir, ents).where("error is null")
+    vector = F.col("vector").isNotNull() & ((F.coalesce("modality", F.lit("")) != "image") | (F.col("query") == ""))
+    return req.select("qid", F.array_join(search.channel_names(vector, F.col("query") != ""), ",").alias("channels"))
+
+
+@query
+def hnsw_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the graph finds 95 of 100 of the exact nearest."""
+    q, e = _embeddings(spark, sf_dir)
+    recall = fusion.recall_at_k(knn.flat_top_k(q, e, 10), hnsw.search(hnsw.build(e, DIM, 4), q, 10), 10)
+    return recall.agg(F.count("*").alias("asked"), (F.avg("recall") >= 0.95).alias("reached"))
+
+
+@query
+def eval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall evaluation on generated vectors: what it was asked and whether it passes."""
+    out = evalrecall.evaluate(spark, 1000, 20, 10, dim=DIM, shards=4)
+    return spark.createDataFrame([(out["n"], out["dim"], out["queries"], out["k"], bool(out["pass_recall"]))], "n int, dim int, queries int, k int, pass_recall boolean")
+
+
 # --- flagship ----------------------------------------------------------------------------------
 
 

@@ -57,7 +57,9 @@ def scratch(df: DataFrame, what: str = "t") -> DataFrame:
     if not _written:
         atexit.register(_drop_all)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -69,6 +71,14 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing will read again, before the driver ends."""
+    for df in tables:
+        for spark, path in [w for w in _written if w[1] == getattr(df, "_scratch", None)]:
+            delete_path(spark, path)
+            _written.remove((spark, path))
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

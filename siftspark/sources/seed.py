@@ -51,3 +51,16 @@ def write_images(folder: str) -> list[str]:
         with open(names[-1], "wb") as f:
             f.write(png(painted(kind)))
     return names
+
+
+def image_files(spark, path: str) -> str:
+    """The painted images and a file that is no image, written to any file system; gives the folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(conf)
+    files = {f"{kind}.png": png(painted(kind)) for kind in ("gradient", "stripes", "square", "grid")} | {"bad.png": b"this is not an image"}
+    for name, data in files.items():
+        out = fs.create(make(f"{path}/{name}"), True)
+        out.write(bytearray(data))
+        out.close()
+    return path

@@ -183,3 +183,12 @@ def test_plan_shapes(spark, vectors):
     docs = bm25.document_terms(spark.createDataFrame([(1, "a b")], "k bigint, s string"), "k", F.col("s"))
     plan = bm25.bm25_scores(docs, spark.createDataFrame([(1, "b")], "qid bigint, query string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_recall_of_an_empty_truth(spark):
+    from siftspark.operators import fusion
+
+    truth = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "qid long, id long, rank int")
+    asked = spark.createDataFrame([(1,), (2,)], "qid long")
+    got = {r.qid: r.recall for r in fusion.recall_at_k(truth, truth.where("rank = 1"), 10, asked).collect()}
+    assert got == {1: 0.5, 2: 1.0} and fusion.recall_at_k(truth, truth, 0, asked).count() == 2
