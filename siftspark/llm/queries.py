@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
+from ..operators import knn, live
+from ..session import scratch
 from . import bpe, distinctive, forest, lookalike, mixing, neardup, ngrams, peaks, percentile
 from .oracle import SQL  # noqa: F401
 
@@ -99,6 +102,23 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(vectors, 5, every=20).withColumn("cosine", F.round("cosine", 6))
 
 
+@query
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records asked as in p6_nearest, and whether 95 of 100 of their exact five nearest are found.
+
+    The exact ones come from the block scan of all records; a neighbour as near as the fifth counts as found.
+    """
+    vectors = forest.vector_table(table(spark, sf_dir, "entities"))
+    found = forest.nearest(vectors, 5, every=20)
+    unit = live.live_rows(table(spark, sf_dir, "entities"), [F.col("vector").cast("array<double>").alias("vector")])
+    unit = scratch(unit.where(live.usable_vector(F.col("vector"), 64)).select("id", V.normalize(F.col("vector")).alias("vector")), "unit")
+    truth = knn.flat_top_k(unit.where("id % 20 = 0").withColumnRenamed("id", "qid"), unit, 6).where("qid <> id")
+    fifth = truth.groupBy("qid").agg(F.sort_array(F.collect_list("dist")).alias("d")).select("qid", F.element_at("d", F.least(F.lit(5), F.size("d"))).alias("far"), F.least(F.lit(5), F.size("d")).alias("wanted"))
+    hits = found.join(fifth, F.col("id") == F.col("qid")).where(F.round(1 - F.col("cosine"), 6) <= F.col("far") + 1e-6).groupBy("qid").agg(F.count("*").alias("n"))
+    each = fifth.join(hits, "qid", "left").select("wanted", F.least(F.coalesce("n", F.lit(0)), F.col("wanted")).alias("got"))
+    return each.agg(F.count("*").alias("asked"), (F.sum("got") >= F.sum("wanted") * 0.95).alias("reached"))
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms and tags in one record only, or in more than a quarter of all."""
