@@ -150,3 +150,21 @@ class FunctionEmbedder:
             return pd.Series(out)
 
         return run(text)
+
+
+class BudgetedEmbedder:
+    """An embedder that costs, and one that doesn't, which stands in while ``allowed()`` is false.
+
+    It is asked for each batch of texts before it is embedded; ``space`` names the space of the last answer, so a caller can
+    tell vectors of one from those of the other, which don't compare.
+    """
+
+    def __init__(self, paid: Embedder, free: Embedder, allowed: Callable[[], bool]):
+        if paid.dim != free.dim:
+            raise ValueError("both embedders must have one dimension")
+        self.paid, self.free, self.allowed, self.dim, self.space = paid, free, allowed, paid.dim, paid.space
+
+    def embed(self, text: Column) -> Column:
+        own = self.paid if self.allowed() else self.free
+        self.space = own.space
+        return own.embed(text)

@@ -50,6 +50,23 @@ def token_stream(answer: DataFrame) -> DataFrame:
     return answer.select("qid", F.explode(events).alias("e")).select("qid", "e.*")
 
 
+def event_stream(answer: DataFrame, cites: DataFrame) -> DataFrame:
+    """(qid, seq, event, data): meta (JSON of the citations) first, a token event for each character, an error if the call failed, done.
+
+    ``answer``: qid, answer and optionally ok, error as answers_by gives them.
+    """
+    have = set(answer.columns)
+    failed = ~F.coalesce(F.col("ok"), F.lit(True)) if "ok" in have else F.lit(False)
+    error = F.coalesce(F.col("error"), F.lit("")) if "error" in have else F.lit("")
+    lists = cites.groupBy("qid").agg(F.to_json(F.sort_array(F.collect_list(F.struct("index", "id")))).alias("_cites"))  # those of one answer
+    rows = answer.join(lists, "qid", "left")
+    none = F.array().cast("array<struct<event:string,data:string>>")
+    one = lambda kind, data: F.array(F.struct(F.lit(kind).alias("event"), data.alias("data")))
+    chars = F.transform(F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"[\s\S]"), F.lit(0)), lambda c: F.struct(F.lit("token").alias("event"), c.alias("data")))
+    events = F.concat(one("meta", F.coalesce("_cites", F.lit("[]"))), chars, F.when(failed, one("error", error)).otherwise(none), one("done", F.lit("")))
+    return rows.select("qid", F.posexplode(events).alias("seq", "e")).select("qid", "seq", "e.event", "e.data")
+
+
 def answers_by(questions: DataFrame, cites: DataFrame, generate: Callable[[str, list[str]], str]) -> DataFrame:
     """(qid, answer, ok, error) by a function of question and contexts, for a model of one's own; a failure is a row, not a lost batch."""
     lists = cites.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("index", "context"))), lambda c: c["context"]).alias("contexts"))

@@ -330,3 +330,23 @@ def test_long_streams_are_worked_on_in_ranges(spark, many_ranges):
     for s in ("a", "b", None):
         own = sorted(x[1] for x in rows if x[0] == s)
         assert q[s] == own[int((len(own) - 1) * 0.9)]
+
+
+def test_events_of_an_answer(spark):
+    answer = spark.createDataFrame([(1, "ab", True, None), (2, "c", False, "timeout")], "qid bigint, answer string, ok boolean, error string")
+    cites = spark.createDataFrame([(1, 2, 8), (1, 1, 9)], "qid bigint, index int, id bigint")
+    got = [(r.qid, r.event, r.data) for r in rag.event_stream(answer, cites).orderBy("qid", "seq").collect()]
+    assert got[:4] == [(1, "meta", '[{"index":1,"id":9},{"index":2,"id":8}]'), (1, "token", "a"), (1, "token", "b"), (1, "done", "")]
+    assert got[4:] == [(2, "meta", "[]"), (2, "token", "c"), (2, "error", "timeout"), (2, "done", "")]
+
+
+def test_an_embedder_with_a_budget(spark):
+    from siftspark.functions.embed import BudgetedEmbedder, FunctionEmbedder, HashEmbedder
+
+    room = [True]
+    e = BudgetedEmbedder(FunctionEmbedder(lambda ts: [[1.0, 0.0] for _ in ts], 4, "mine"), HashEmbedder(4), lambda: room[0])
+    df = spark.createDataFrame([("x",)], "t string")
+    first = df.select(e.embed(F.col("t")).alias("v")).first().v
+    assert e.space == "mine" and first[0] > 0.9
+    room[0] = False
+    assert df.select(e.embed(F.col("t")).alias("v")).first().v == df.select(HashEmbedder(4).embed(F.col("t")).alias("v")).first().v and e.space == "text-hash"
