@@ -135,6 +135,9 @@ def asset_name(content_hash: Column, mime: Column) -> Column:
     return F.when(valid_hash(content_hash), F.concat(content_hash, ext))
 
 
+ASSET = "content_hash string, mime string, content binary, name string, shelf string"
+
+
 def put_assets(files: DataFrame, folder: str) -> DataFrame:
     """(content_hash, name) of files (content, mime) stored under the name that their bytes' SHA-256 gives.
 
@@ -144,7 +147,7 @@ def put_assets(files: DataFrame, folder: str) -> DataFrame:
     rows = files.where("content is not null").select(F.sha2("content", 256).alias("content_hash"), F.coalesce("mime", F.lit("")).alias("mime"), "content")
     rows = rows.dropDuplicates(["content_hash"]).withColumn("name", asset_name(F.col("content_hash"), F.col("mime"))).withColumn("shelf", F.substring("content_hash", 1, 2))
     try:
-        have = files.sparkSession.read.parquet(folder).select(F.col("content_hash").alias("_h"))
+        have = files.sparkSession.read.schema(ASSET).parquet(folder).select(F.col("content_hash").alias("_h"))
         rows = rows.join(have, F.col("content_hash") == F.col("_h"), "left_anti")
     except AnalysisException:  # the first of all
         pass
@@ -156,7 +159,7 @@ def put_assets(files: DataFrame, folder: str) -> DataFrame:
 def read_asset(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """(name, mime, content) of the asset of a name (a hash of at least 16 digits, with or without extension); no row for any other."""
     want = name.split(".")[0]
-    rows = spark.read.parquet(folder).where(valid_hash(F.lit(want)) & (F.col("shelf") == want[:2]) & (F.col("content_hash") == want))
+    rows = spark.read.schema(ASSET).parquet(folder).where(valid_hash(F.lit(want)) & (F.col("shelf") == want[:2]) & (F.col("content_hash") == want))
     return rows.select("name", "mime", "content")
 
 
