@@ -51,10 +51,11 @@ def _scan(shared, digits: int):
                     continue
                 v = np.asarray(b.column(1).flatten()).astype(np.float64).reshape(len(ids), -1)
                 for n, t in enumerate(tiles):
-                    d = 1 - q[t] @ v.T
-                    # Differences, not the expanded square: near neighbours would lose their digits.
-                    for i in np.flatnonzero(l2[t]):
-                        d[i] = np.sqrt(((v - q[t.start + i]) ** 2).sum(axis=1))
+                    d = q[t] @ v.T
+                    far = np.flatnonzero(l2[t])
+                    if len(far):
+                        d[far] = _euclid(q[t][far], v, d[far])
+                    d[~l2[t]] = 1 - d[~l2[t]]
                     d = np.round(d, digits) + 0.0  # no negative zeros
                     k = int(ks[t].max())
                     own = np.broadcast_to(ids, d.shape)
@@ -78,6 +79,17 @@ def _scan(shared, digits: int):
     return run
 
 
+def _euclid(q: np.ndarray, v: np.ndarray, dot: np.ndarray) -> np.ndarray:
+    """Euclid's distances by the expanded square, and by differences where that would lose digits: of near ones."""
+    size = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]
+    square = size - 2 * dot
+    i, j = np.nonzero(square < 1e-6 * size)
+    for lo in range(0, len(i), 100_000):
+        a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+        square[a, b] = ((q[a] - v[b]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(square, 0))
+
+
 def first_k(d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest of each row by (d, i)."""
     top = np.argpartition(d, k - 1, axis=1)[:, :k]
