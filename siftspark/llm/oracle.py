@@ -68,6 +68,18 @@ _GRAMS = " UNION ALL ".join(
 
 SQL: dict[str, str] = {
     "p1_top": f"{_P1}, t AS (SELECT id, term, sc, row_number() OVER (PARTITION BY id ORDER BY sc DESC, term) AS rank FROM (SELECT id, term, round(sc, 10) AS sc FROM z)) SELECT id, rank::INT AS rank, term, round(sc, 5) AS score FROM t WHERE rank <= 10",
+    # Every record with 15 similar ones names a seed; whoever averages 0.58 with what is similar to the seed is a group to check.
+    "p2_found": f"""{_VEC},
+u AS (SELECT id, modality, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM u a JOIN u b ON a.modality IS NOT DISTINCT FROM b.modality),
+n AS MATERIALIZED (SELECT a, b FROM p WHERE c >= 0.55),
+seeds AS (SELECT DISTINCT lo AS seed FROM (SELECT a, min(b) AS lo FROM n GROUP BY a HAVING count(*) >= 8)),
+m AS (SELECT seed, p.a AS id, avg(c) AS mean FROM seeds JOIN n ON n.a = seed JOIN p ON p.b = n.b GROUP BY ALL),
+g AS MATERIALIZED (SELECT seed, id, count(*) OVER (PARTITION BY seed) AS size FROM m WHERE mean >= 0.58),
+w AS (SELECT g.seed, p.a AS id, sum(c) AS s, any_value(g.size) AS size FROM g JOIN p ON p.b = g.id GROUP BY ALL),
+ok AS (SELECT w.seed FROM w LEFT JOIN g ON g.seed = w.seed AND g.id = w.id GROUP BY w.seed
+  HAVING any_value(w.size) >= 15 AND min(CASE WHEN g.id IS NOT NULL THEN (s - 1) / (w.size - 1) END) >= 0.65 AND coalesce(max(CASE WHEN g.id IS NULL THEN s / w.size END), 0) < 0.5)
+SELECT DISTINCT id, min(id) OVER (PARTITION BY seed) AS group_id FROM g WHERE seed IN (SELECT seed FROM ok)""",
     "p4_found": f"""WITH {_LIVE},
 x AS (SELECT id, doc_id, regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS s FROM live WHERE modality = 'text' AND content IS NOT NULL),
 g AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(s) - 6), lambda i: s[i:i + 7])) AS gram FROM x WHERE length(s) >= 8),
