@@ -130,6 +130,10 @@ n AS (SELECT {id}, sqrt(sum(x * x)) AS n FROM s GROUP BY {id}) SELECT {id}, slot
 UNION ALL SELECT {id}, 0, 1.0 FROM {table} WHERE {id} NOT IN (SELECT {id} FROM f)"""
 
 SQL: dict[str, str] = {
+    "p3_fields": f"""{_P3}, f AS (SELECT id, seq, (SELECT TRY(decode(o.payload)) FROM oplog o WHERE o.seq = last.seq) AS s FROM last WHERE rn = 1 AND NOT gone)
+SELECT id, seq, {', '.join(f"json_extract_string(s, '$.{c}') AS {c}" for c in ("collection", "modality", "content", "doc_id", "caption", "content_hash", "mime"))},
+  TRY_CAST(json_extract_string(s, '$.chunk_index') AS INT) AS chunk_index, TRY_CAST(json_extract_string(s, '$.width') AS INT) AS width,
+  array_to_string(TRY_CAST(json_extract(s, '$.tags') AS VARCHAR[]), ',') AS tags, json_extract_string(s, '$.scalar.title') AS title FROM f""",
     "ingest_chunks": f"""WITH {_CHUNK.format(where="length(regexp_replace(text, '\\s+', '', 'g')) > 0 AND coalesce(collection, 'default') IN (SELECT name FROM collections)")}
 SELECT doc_id, chunk_index, char_offset, (SELECT coalesce(d.collection, 'default') FROM documents d WHERE d.doc_id = z.doc_id) AS collection, content, 64::INT AS dim FROM z""",
     "rejected_documents": """SELECT doc_id, error::INT AS error FROM (SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) = 0 THEN 40001

@@ -62,6 +62,13 @@ def p3_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changefeed.final_state(table(spark, sf_dir, "oplog")).withColumn("tags", F.array_join("tags", ","))
 
 
+@query
+def p3_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain fields of the rebuilt entities."""
+    title = F.try_element_at("scalar", F.lit("title")).alias("title")
+    return changefeed.final_state(table(spark, sf_dir, "oplog")).select("id", "seq", "collection", "modality", "content", "doc_id", "chunk_index", "caption", "content_hash", "mime", "width", F.array_join("tags", ",").alias("tags"), title)
+
+
 @query
 def oplog_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recovery in order of arrival: the last operation on an id decides."""

@@ -192,3 +192,17 @@ def test_recall_of_an_empty_truth(spark):
     asked = spark.createDataFrame([(1,), (2,)], "qid long")
     got = {r.qid: r.recall for r in fusion.recall_at_k(truth, truth.where("rank = 1"), 10, asked).collect()}
     assert got == {1: 0.5, 2: 1.0} and fusion.recall_at_k(truth, truth, 0, asked).count() == 2
+
+
+def test_euclid_keeps_digits_of_near_vectors():
+    import numpy as np
+
+    from siftspark.operators import knn
+
+    r = np.random.default_rng(3)
+    q, v = r.standard_normal((5, 16)) * 100, r.standard_normal((40, 16)) * 100
+    v[:5] = q + 1e-5 * r.standard_normal((5, 16))
+    v[5] = q[0]
+    want = np.sqrt(((q[:, None] - v[None]) ** 2).sum(axis=2))
+    got = knn._euclid(q, v, q @ v.T)
+    assert np.allclose(got, want, rtol=1e-8, atol=1e-12) and got[0, 5] == 0
