@@ -69,7 +69,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, deleted: DataFrame | None =
 
 
 QUERY_BLOCK = 32_768  # queries collected and scored at a time
-QUERY_TILE, DOC_TILE = 2048, 1024  # of the scores that a task holds
+QUERY_TILE, DOC_TILE = 256, 2048  # of the scores that a task holds
 
 
 def bm25_top_k(

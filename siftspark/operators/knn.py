@@ -13,7 +13,7 @@ from ..functions import vector as V
 from .live import top_k
 
 BLOCK_BYTES = 64 * 1024 * 1024  # of queries, and of what a task keeps for them, at a time
-TILE_ROWS, TILE_QUERIES = 2048, 2048  # of the distances that a task holds
+TILE_ROWS, TILE_QUERIES = 2048, 256  # of the distances that a task holds; queries of a tile keep as many as the one that wants most
 
 
 def flat_native(queries: DataFrame, entities: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
