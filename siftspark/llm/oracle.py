@@ -87,6 +87,17 @@ n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 o AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
 SELECT a AS id_a, b AS id_b FROM o JOIN n p ON p.id = a JOIN n q ON q.id = b JOIN x y ON y.id = a JOIN x z ON z.id = b
 WHERE common >= 0.6 * (p.n + q.n - common) AND (y.doc_id IS NULL OR z.doc_id IS NULL OR y.doc_id <> z.doc_id)""",
+    "p4_groups": f"""WITH RECURSIVE {_LIVE},
+x AS (SELECT id, regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS s FROM live WHERE modality = 'text' AND content IS NOT NULL),
+m AS (SELECT id, s, min(id) OVER (PARTITION BY s) AS rep FROM x WHERE length(s) >= 8),
+g AS (SELECT DISTINCT rep AS id, unnest(list_transform(range(1, length(s) - 6), lambda i: s[i:i + 7])) AS gram FROM (SELECT DISTINCT rep, s FROM m)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM o JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE common >= 0.6 * (p.n + q.n - common)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, lo) AS (SELECT DISTINCT rep, rep FROM m UNION SELECT l.b, r.lo FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(lo) AS lo FROM r GROUP BY node), d AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT m.id, m.rep AS class_id, c.lo AS group_id, coalesce(d.links, 0) AS links FROM m JOIN c ON c.node = m.rep LEFT JOIN d ON d.a = m.rep""",
     "p5_ranked": _P5_RANKED,
     "p6_found": f"""{_VEC},
 s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.id <> b.id),
