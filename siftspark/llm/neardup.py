@@ -37,6 +37,7 @@ from .arrow import slices
 
 TILE = 1 << 16
 BITS = 512  # of a text's bit map; with more, longer texts part sooner
+GRAMS = 4_000_000  # n-grams of all texts for which there is a block, so a task holds as many whatever the data
 HOT = 20_000  # entries of a column, or of a part of one
 
 
@@ -96,8 +97,8 @@ def _add_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _tiles({i: np.concatenate([order[i], parts[i]]) for i in sums}, np.uint8)
 
 
-def ngram_order(reps: DataFrame, run: int) -> np.ndarray:
-    """(2, slots): for each slot, a byte that grows with the number of n-grams in it (the global order, rare first), and its parts."""
+def ngram_order(reps: DataFrame, run: int) -> tuple[np.ndarray, int]:
+    """((2, slots), n-grams of all texts): for each slot, a byte that grows with the number of n-grams in it (the global order, rare first), and its parts."""
     total = reps.agg(F.sum(F.greatest(F.length("norm") - run + 1, F.lit(0)))).first()[0] or 0
     slots = 1 << min(24, max(20, int(total).bit_length()))
     tiles = reps.select("norm").mapInArrow(_count(run, slots), "tile int, counts binary")
@@ -106,7 +107,7 @@ def ngram_order(reps: DataFrame, run: int) -> np.ndarray:
     out[:, 1] = 1
     for r in few.collect():  # two bytes for each slot
         out[r["tile"]] = np.frombuffer(r["counts"], np.uint8).reshape(2, TILE)
-    return np.ascontiguousarray(out.transpose(1, 0, 2).reshape(2, slots))
+    return np.ascontiguousarray(out.transpose(1, 0, 2).reshape(2, slots)), int(total)
 
 
 # An entry of a block: n-gram, cell and the text that has it, its part and place; packed, so a shuffled row holds many.
@@ -305,8 +306,9 @@ def near_pairs(texts: DataFrame, run: int = 8, t: float = 0.6) -> tuple[DataFram
     )
     reps = scratch(rows.groupBy("key").agg(F.min(F.struct("id", "norm")).alias("m")).select("key", F.col("m.id").alias("rep"), F.col("m.norm").alias("norm")), "reps")
     members = rows.select("id", "key").join(reps.select("key", "rep"), "key").select("id", "rep")
-    order = spark.sparkContext.broadcast(ngram_order(reps, run))
-    blocks = partitions(spark)
+    table, total = ngram_order(reps, run)
+    order = spark.sparkContext.broadcast(table)
+    blocks = max(partitions(spark), -(-total // GRAMS))
     packed = reps.select("rep", "norm").mapInArrow(_entries(order, run, t, blocks), "block int, packed binary")
     found = packed.repartitionById(blocks, F.col("block")).mapInArrow(_multiply(t), "a long, b long")
     cand = found.distinct()
