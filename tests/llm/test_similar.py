@@ -164,6 +164,33 @@ def test_pages_hold_every_string_once():
     assert len(forest.cut_pages(child, 0, sizes, sizes, 20, 6, True, [])) == 0
 
 
+def test_many_that_ask_one_page_are_cut():
+    """A page of few strings that a million ask is no single part."""
+    grid = forest.Grid(np.array([50, 3000]), np.array([1_000_000, 10_000]), np.zeros(2, np.int64), 200_000, 4)
+    assert (-(-np.array([1_000_000, 10_000]) // grid.cols) <= 200_000).all() and grid.rows.tolist() == [1, 1] and grid.cols[1] == 1
+    ids = np.arange(1000)
+    row, part = grid.deal(ids, np.zeros(1000, np.int64), ids, True)
+    assert len(row) == 1000 and set(part.tolist()) == set(range(grid.cols[0]))  # asked once
+    row, part = grid.deal(ids[:50], np.zeros(50, np.int64), ids, False)
+    assert len(row) == 50 * grid.cols[0]  # stored in each
+
+
+def test_ties_are_measured_in_small_parts():
+    """Vectors as good as equal: every pair of a tile is measured, but not all of them at a time."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    raw = (np.ones((800, 64)) + 1e-5 * r.standard_normal((800, 64))).astype(np.float32)
+    ids = np.arange(800)
+    tracemalloc.start()
+    a, b, s = (np.concatenate(x) for x in zip(*forest._compare(forest.unit(raw), raw, ids, np.zeros(800, np.int64), ids, ids, 0.9, 8)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    a, b, s = forest._best(a, b, s, 8)
+    exact = forest.exact_cosines(np.repeat(raw[:1], 799, axis=0), raw[1:])
+    assert peak < 300e6 and len(a) == 6400 and sorted(s[a == 0].tolist()) == pytest.approx(np.sort(exact)[-8:].tolist(), abs=1e-15)
+
+
 def test_forest_edges(spark):
     one = np.eye(64)[0]
     v = [one, one, one * 2, None, np.zeros(64), np.ones(3), np.full(64, np.nan), one, np.eye(64)[1]]
