@@ -266,6 +266,28 @@ def test_follow(spark):
     assert peaks.follow(links.limit(0)).count() == 0
 
 
+def test_rounds_point_to_the_denser_behind_many_lighter(spark):
+    """The most similar denser node counts, however many lighter ones lie nearer."""
+    e = np.eye(64)
+    nodes = [(1, 5.0, e[0]), (2, 50.0, 0.7 * e[0] + 0.51**0.5 * e[1])] + [(10 + i, 1.0, 0.9 * e[0] + 0.19**0.5 * e[2 + i]) for i in range(20)]
+    rows = [(i, 0, n, bytearray((n * v).astype(np.float32).tobytes())) for i, n, v in nodes]
+    got = {r.node: r.peak for r in peaks._round_links(spark.createDataFrame(rows, peaks.NODE), 0.6, 64).collect()}
+    assert got == {i: 2 for i, _, _ in nodes if i != 2}
+
+
+def test_superseded_tables_are_released(spark):
+    """No table of vectors but the given one and that of the means outlives the clusters."""
+    from siftspark import session
+
+    v, _ = clustered(41, 3, 200, spread=0.5)
+    table = forest.vector_table(entities(spark, v))
+    before = {path for _, path in session._written}
+    members, _ = peaks.checked_groups(table)
+    left = [path for _, path in session._written if path not in before]
+    held = [p.rsplit("-", 2)[1] for p in left if {"vec", "s"} & set(spark.read.parquet(p).columns)]
+    assert sorted(held) == ["fit", "means", "sums"] and members.count() == 200
+
+
 def test_heavy_prefixes_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(peaks, "PART", 40)
     v, lab = clustered(31, 2, 500, spread=0.4)
