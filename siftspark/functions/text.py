@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,18 +123,52 @@ def tokenize(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: None if x is None else [{"term": a, "start": b, "end": c} for a, b, c in tokenize_text(x, run)])
 
 
+SENTENCES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))
+_ENDS = re.compile("|".join(re.escape(c) for c in TERMINATORS).encode())
+
+
 def sentences(text: Column) -> Column:
-    """Array of (start, end, text): a sentence keeps its terminator, a tail without one counts, consecutive terminators are sentences."""
-    parts = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
-    spans = F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: i <= F.size(parts)),
-        lambda i: F.struct(
-            F.aggregate(F.slice(parts, 1, i - 1), F.lit(0), lambda a, x: a + F.octet_length(x)).alias("start"),
-            F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.octet_length(x)).alias("end"),
-            F.element_at(parts, i).alias("text"),
-        ),
+    """Array of (start, end, text): a sentence keeps its terminator, a tail without one counts, consecutive terminators are sentences.
+
+    One pass over the bytes of a batch; the sentences' texts are places in them.
+    """
+    # Made here: an Arrow function asks for the session when it is made.
+    return F.arrow_udf(sentence_arrays, SENTENCES)(text)
+
+
+def sentence_arrays(texts: pa.Array) -> pa.Array:
+    """The (start, end, text) of each text's sentences; null gives null."""
+    texts = texts.cast(pa.large_string())
+    if texts.offset:
+        texts = pa.concat_arrays([texts])
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    first, data = int(ends[0]), texts.buffers()[2]
+    data = memoryview(data)[first : int(ends[-1])] if data is not None else b""
+    ends = ends - first
+    # A sentence ends behind each terminator and at the end of each text; bytes of a null one belong to none.
+    cut = np.fromiter((m.end() for m in _ENDS.finditer(data)), np.int64)
+    filled = ends[1:] > ends[:-1]
+    cut = np.union1d(cut, ends[1:][filled])
+    of = np.searchsorted(ends[1:], cut)  # the first text that reaches so far
+    begin = np.maximum(np.append(0, cut[:-1]), ends[:-1][of]) if len(cut) else cut
+    null = np.asarray(texts.is_null())
+    own = ~null[of]
+    cut, of, begin = cut[own], of[own], begin[own]
+    at = np.append(np.searchsorted(of, np.arange(len(texts))), len(of)).astype(np.int32)
+    pieces = pa.StructArray.from_arrays(
+        [pa.array((begin - ends[of]).astype(np.int32)), pa.array((cut - ends[of]).astype(np.int32)), _pieces(data, begin, cut)], names=["start", "end", "text"]
     )
-    return F.when(text.isNotNull(), spans)
+    return pa.ListArray.from_arrays(at, pieces, mask=pa.array(null))
+
+
+def _pieces(data, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings data[begin:end], which lie one after the other."""
+    if not len(begin):
+        return pa.array([], pa.string())
+    size = np.append(0, np.cumsum(end - begin))
+    joined = data if size[-1] == len(data) else b"".join(bytes(data[a:z]) for a, z in zip(begin, end))
+    whole = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(size.astype(np.int64).tobytes()), pa.py_buffer(joined))
+    return whole.cast(pa.string())
 
 
 def split_sentences(text: str | None) -> list[tuple[int, int]]:

@@ -58,3 +58,17 @@ def test_small_functions(spark):
     rows = df.select(text.parse_tags(F.col("csv")).alias("p"), text.answer_excerpt(F.col("s")).alias("e"), text.first_tag(F.col("tags")).alias("f"), text.joined_tags(F.col("tags")).alias("j")).collect()
     assert (rows[0].p, rows[0].e, rows[0].f, rows[0].j) == (["a", "b"], "x" * 120 + "…", "t", "t u")
     assert (rows[1].p, rows[1].e, rows[1].f, rows[1].j) == ([], "y", "", "")
+
+
+def test_sentences_take_one_pass(spark):
+    """A text of 20,000 sentences; before, each sentence split the whole text anew (28.8 s for the 1,000 documents at 0.01)."""
+    import time
+
+    n = 20_000
+    df = spark.createDataFrame([(1, "é。" * n + "tail"), (2, None), (3, "\n")], "id int, s string")
+    rows = df.select("id", text.sentences(F.col("s")).alias("x"))
+    began = time.time()
+    got = {r["id"]: r["x"] for r in rows.collect()}
+    assert time.time() - began < 60
+    assert len(got[1]) == n + 1 and got[1][n - 1] == (5 * n - 5, 5 * n, "é。") and got[1][n] == (5 * n, 5 * n + 4, "tail")
+    assert got[2] is None and [tuple(s) for s in got[3]] == [(0, 1, "\n")]
