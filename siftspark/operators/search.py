@@ -9,8 +9,8 @@ from ..config import EngineConfig
 from ..functions import vector as V
 from ..functions.embed import Embedder, embed_sentences
 from ..functions.text import search_text, terms
-from ..session import scratch
-from . import bm25, filters, fusion, hnsw, knn
+from ..session import release, scratch
+from . import admitted, bm25, filters, fusion, hnsw, knn
 from .live import top_k
 
 
@@ -99,17 +99,15 @@ def search_hybrid(
 
 
 def _ranked_after_filter(req: DataFrame, by_vector: DataFrame, live: DataFrame, texts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both channels ranked among the entities that a request admits; joined by collection, so no product of all with all."""
-    ask = lambda df: df.select("qid", F.col("collection").alias("_col"), F.col("modality").alias("_mod"), F.col("filter").alias("_filter"), F.col("metric").alias("_metric"), F.col("vector").alias("_qv"))
-    admit = lambda df: df.where(F.col("_mod").isNull() | (F.col("_mod") == F.col("modality"))).where(filters.per_request([t for t in texts if "score" not in t.lower()], "_filter"))
-    near = admit(live.join(ask(by_vector), F.col("collection") == F.col("_col")).where(F.size("vector") == F.size("_qv")))
-    dist = F.when(F.col("_metric") == "l2", V.l2(F.col("_qv"), F.col("vector"))).otherwise(1 - V.dot(F.col("_qv"), F.col("vector")))
-    vec = fusion.assign_ranks(near.select("qid", "id", F.round(dist, 6).alias("dist")), "qid", [F.asc("dist"), F.asc("id")])
-    docs = bm25.document_terms(live, "id", search_text(F.col("content"), F.col("caption"), F.col("tags")))
-    scores = bm25.bm25_scores(docs, req.select("qid", "query")).withColumn("score", F.round("score", 6))
-    fields = live.select("id", "collection", "modality", "tags", "scalar", "caption", "content", "doc_id", "source_ref")
-    allowed = admit(scores.join(fields, "id").join(ask(req), "qid").where(F.col("collection") == F.col("_col")))
-    return vec, fusion.assign_ranks(allowed.select("qid", "id", "score"), "qid", [F.desc("score"), F.asc("id")])
+    """Both channels ranked among the entities that a request admits, as far as its pool goes; compared by collection, so no pair is a row."""
+    most = req.agg(F.max("pool")).first()[0] or 1
+    texts = [t for t in texts if t is not None and "score" not in t.lower()]
+    fields = [c for c in ("id", "vector", "collection", "modality", "tags", "scalar", "caption", "content", "doc_id", "source_ref") if c in live.columns]
+    rows = admitted.prepared(live.select(*fields), texts, search_text(F.col("content"), F.col("caption"), F.col("tags")))
+    ask = lambda df: df.withColumn("k", F.col("pool"))
+    vec, key = scratch(admitted.nearest(ask(by_vector), rows, texts, most), "near"), scratch(admitted.best_scores(ask(req), rows, texts, most), "scored")
+    release(rows)  # as large as the entities, and nothing reads it again
+    return vec, key
 
 
 def with_query_vectors(requests: DataFrame, embedder: Embedder) -> DataFrame:

@@ -134,6 +134,39 @@ def test_hybrid_post_and_pre(spark):
     assert {r.id for r in via} & {r.id for r in post}
 
 
+def test_pre_ranks_what_a_request_admits_without_rows_of_pairs(spark):
+    """Both channels of many requests against brute force; before, every pair of a request and an entity was a row of a join."""
+    from siftspark.operators.search import _ranked_after_filter
+
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    schema = "id bigint, collection string, modality string, vector array<float>, scalar map<string,string>, source_ref string, content string, doc_id string, caption string, tags array<string>"
+    rows = []
+    for i in range(400):
+        v = None if i % 17 == 0 else [float(x) for x in rng.integers(-2, 3, 3 if i % 5 else 2)]
+        rows.append((i, f"c{i % 3}" if i % 11 else None, ["text", "image"][i % 4 == 0], v, None, "s", " ".join(rng.choice(words, 4)), f"d{i}", None, ["a"] if i % 2 else None))
+    ents = spark.createDataFrame(rows, schema).repartition(7).cache()
+    asks = []
+    texts = ["", 'tag == "a"', "nonsense", "score > 0.02"]
+    for q in range(120):
+        v = None if q % 13 == 0 else [float(x) for x in rng.integers(-2, 3, 3 if q % 7 else 2)]
+        asks.append((q, f"c{q % 4}", [None, "text", "image"][q % 3], texts[q % 4], ["cosine", "l2"][q % 2], v, " ".join(rng.choice(words, q % 3)), 3 + q % 9))
+    req = spark.createDataFrame(asks, "qid bigint, collection string, modality string, filter string, metric string, vector array<double>, query string, pool int")
+    vec, key = _ranked_after_filter(req, req.where("vector is not null"), ents, texts)
+    got = [sorted((r.qid, r["rank"], r.id) for r in df.collect() if r["rank"] <= asks[r.qid][7]) for df in (vec, key)]
+    scores = bm25.bm25_scores(bm25.document_terms(ents, "id", F.col("content")), req.select("qid", "query"))
+    scores = {(r.qid, r.id): round(r.score, 6) for r in scores.collect()}
+    want = [[], []]
+    for q, col, mod, text, metric, v, _, pool in asks:
+        ok = [r for r in rows if r[1] == col and mod in (None, r[2]) and text != "nonsense" and ("tag" not in text or r[9])]
+        far = lambda a: math.dist(a, v) if metric == "l2" else 1 - float(np.dot(a, v))
+        near = sorted((round(far(r[3]), 6), r[0]) for r in ok if v and r[3] and len(r[3]) == len(v))
+        best = sorted((-scores[q, r[0]], r[0]) for r in ok if (q, r[0]) in scores)
+        for out, found in zip(want, (near, best)):
+            out += [(q, i + 1, f[1]) for i, f in enumerate(found[:pool])]
+    assert got == [sorted(w) for w in want] and all(got)
+
+
 def test_text_for_images_uses_keywords_only(spark):
     hits = search.search_hybrid(request(spark, modality="image", collection="other"), entities(spark), dim=3).collect()
     assert hits and all(r.vec_rank == 0 and r.modality == "image" and r.score == round(r.rrf, 6) for r in hits)
