@@ -16,7 +16,7 @@ from .errors import BAD_REQUEST, INTERNAL, EngineError, wrap
 from .functions.embed import Embedder, HashEmbedder
 from .operators import cost, evalrecall, fusion, hnsw, rag, search, segments, stats
 from .operators.live import current_rows
-from .session import scratch, ship
+from .session import release, scratch, ship
 from .sources import tables
 
 
@@ -77,7 +77,7 @@ class Engine:
         return self._add(new)
 
     def delete(self, ids: DataFrame) -> None:
-        gone = self.entities().join(ids.select("id").distinct(), "id", "left_semi")
+        gone = self._current(self._stored().join(ids.select("id").distinct(), "id", "left_semi"))
         self._write(gone.withColumn("deleted", F.lit(True)).withColumn("created_at", F.current_timestamp()))
 
     def flush(self, reason: str = "manual") -> dict:
@@ -160,10 +160,9 @@ class Engine:
 
     # Reading
 
-    def entities(self) -> DataFrame:
-        """The current row of every id, deleted ones too."""
-        names = [f.name for f in schema.ENTITY.fields if f.name not in ("id", "deleted", "created_at")]
-        return tables.conform(current_rows(self._stored(), [*names, F.col("created_at").alias("_at")]).withColumnRenamed("_at", "created_at"))
+    def entities(self, columns: list[str] | None = None) -> DataFrame:
+        """The current row of every id, deleted ones too; with ``columns`` just id, deleted and these, so that no others are moved."""
+        return self._current(self._stored()) if columns is None else current_rows(self._stored(), columns)
 
     def get(self, ids: DataFrame) -> DataFrame:
         return self.entities().where(~F.col("deleted")).join(ids.select("id").distinct(), "id", "left_semi")
@@ -271,6 +270,10 @@ class Engine:
 
     # Storage
 
+    def _current(self, rows: DataFrame) -> DataFrame:
+        names = [f.name for f in schema.ENTITY.fields if f.name not in ("id", "deleted", "created_at")]
+        return tables.conform(current_rows(rows, [*names, F.col("created_at").alias("_at")]).withColumnRenamed("_at", "created_at"))
+
     def _stored(self) -> DataFrame:
         return tables.read_all(self.spark, [e["path"] for e in self.manifest["segments"]], [b["path"] for b in self.pending])
 
@@ -305,30 +308,34 @@ class Engine:
         return {"number": number, "path": path, "rows": one["n"], "bytes": int(one["b"]), "max_id": one["m"], "at": self.clock()}
 
     def _write(self, rows: DataFrame) -> None:
-        """Rows made durable: a segment if they fill one, else a batch of the log, which is sealed when full."""
-        rows = scratch(tables.conform(rows), "batch")
+        """Rows made durable: a segment if they fill one, else a batch of the log, which is sealed when full. A scratch table of them is released."""
+        rows = rows if getattr(rows, "_scratch", None) else scratch(tables.conform(rows), "batch")
         self.tick()
         size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_bytes()), F.lit(0)).alias("b")).first()
         full = lambda n, b: "max_bytes" if b >= self.config.segment_max_bytes else "max_rows" if n >= self.config.segment_max_rows else None
         if reason := full(size["n"], size["b"]):
             self.flush("order")  # what came before must not be read as newer
             self._segment(rows, reason)
+            release(rows)
             return
         if not size["n"]:
+            release(rows)
             return
         number = max([self.manifest["logged"], *(b["number"] for b in self.pending)]) + 1
         rows.write.mode("overwrite").parquet(f"{self.path}/log/{number:012d}")  # a batch without its mark of success isn't read
+        release(rows)
         self.pending.append(self._pending(number))
         if reason := full(sum(b["rows"] for b in self.pending), sum(b["bytes"] for b in self.pending)):
             self.flush(reason)
 
     def _add(self, new: DataFrame) -> DataFrame:
         count = new.count()
+        names = scratch(new.select("id", "doc_id", "chunk_index"), "ids")
         self._write(new)
         self.manifest["next_entity_id"] += count  # saved with the next manifest; a new engine takes it from the log, too
         if not self.pending:
             self._save()
-        return new.select("id", "doc_id", "chunk_index")
+        return names
 
     def _save(self, **changes) -> None:
         self.manifest = tables.save_manifest(self.spark, self.path, self.manifest | changes)

@@ -7,10 +7,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _tokenizer, split_sentences, tokenize_text
+from .text import SLICE, TERMINATORS, _tokenizer, split_sentences, tokenize_text
 
 # The hash function's parameters and the weights of the features.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -83,7 +84,8 @@ def hash_embed(text: Column, dim: int = 1024, kind: str = "float") -> Column:
     @F.pandas_udf(f"array<{kind}>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
-            yield pd.Series(list(embed_texts(s.tolist(), dim).astype(np.float32 if kind == "float" else np.float64)))
+            for lo in range(0, len(s), SLICE):
+                yield pd.Series(list(embed_texts(s.iloc[lo : lo + SLICE].tolist(), dim).astype(np.float32 if kind == "float" else np.float64)))
 
     return run(text)
 
@@ -101,17 +103,34 @@ def hash_fnv(text: Column) -> Column:
 
 def embed_sentences(text: Column, dim: int = 1024) -> Column:
     """array of (start, end, vector) of each sentence."""
+    return F.arrow_udf(sentence_vectors(dim), "array<struct<start:int,end:int,vector:array<float>>>")(text)
 
-    @F.pandas_udf("array<struct<start:int,end:int,vector:array<float>>>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            spans = [split_sentences(x) for x in s]
-            raw = [(x or "").encode() for x in s]
-            parts = [r[a:b].decode() for r, sp in zip(raw, spans) for a, b in sp]
-            v = iter(embed_texts(parts, dim).astype(np.float32))
-            yield pd.Series([[{"start": a, "end": b, "vector": next(v)} for a, b in sp] for sp in spans])
 
-    return run(text)
+def sentence_vectors(dim: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """The sentences of each text with their vectors, SLICE sentences or one text at a time; a null has none."""
+
+    def part(texts: list[str]) -> pa.Array:
+        spans = [split_sentences(x) for x in texts]
+        parts = [raw[a:b].decode() for raw, sp in zip((x.encode() for x in texts), spans) for a, b in sp]
+        v = np.concatenate([np.zeros((0, dim), np.float32), *(embed_texts(parts[i : i + SLICE], dim).astype(np.float32) for i in range(0, len(parts), SLICE))])
+        start, end = (pa.array([s[k] for sp in spans for s in sp], pa.int32()) for k in (0, 1))
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim), pa.array(v.ravel(), pa.float32()))
+        at = np.append(0, np.cumsum([len(sp) for sp in spans])).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([start, end, vectors], names=["start", "end", "vector"]))
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in texts:
+            own, held = [], 0
+            for x in s.to_pylist():
+                own.append(x or "")
+                held += 1 + sum(own[-1].count(c) for c in TERMINATORS)
+                if held >= SLICE:
+                    yield part(own)
+                    own, held = [], 0
+            if own:
+                yield part(own)
+
+    return run
 
 
 class Embedder(Protocol):

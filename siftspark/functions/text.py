@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,12 +114,29 @@ def tokenize_text(text: str | None, run=None, stop=frozenset(STOPWORDS)) -> list
     return out
 
 
-@F.pandas_udf(TOKENS)
-def tokenize(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+SLICE = 500  # texts whose tokens are Python objects at a time
+
+
+def tokenize(text: Column) -> Column:
     """Array of (term, start, end) of a text column; the terms are those of terms()."""
+    return F.arrow_udf(token_arrays, TOKENS)(text)
+
+
+def token_arrays(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The tokens of each text, SLICE texts at a time; null gives null."""
     run = _tokenizer()
     for s in texts:
-        yield s.map(lambda x: None if x is None else [{"term": a, "start": b, "end": c} for a, b, c in tokenize_text(x, run)])
+        for lo in range(0, len(s), SLICE):
+            own = s.slice(lo, SLICE).to_pylist()
+            n, term, start, end = [0], [], [], []
+            for x in own:
+                for t, a, b in tokenize_text(x, run):
+                    term.append(t)
+                    start.append(a)
+                    end.append(b)
+                n.append(len(term))
+            flat = pa.StructArray.from_arrays([pa.array(term, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["term", "start", "end"])
+            yield pa.ListArray.from_arrays(pa.array(n, pa.int32()), flat, mask=pa.array([x is None for x in own]))
 
 
 SENTENCES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("text", T.StringType())]))

@@ -520,13 +520,13 @@ def engine_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     one.ingest_documents(docs)
     one.flush()
     third = F.col("doc_id").cast("long") % 3 == 0
-    one.delete(one.entities().where(third).select("id"))
+    one.delete(one.entities(["doc_id"]).where(third).select("id"))
     one.flush()
     two = Engine(spark, path, EngineConfig(dim=DIM))
-    before = two.entities().agg(F.count("*").alias("rows"), F.count_if("deleted").alias("deleted"))
+    before = two.entities([]).agg(F.count("*").alias("rows"), F.count_if("deleted").alias("deleted"))
     before = scratch(before, "before")
     two.compact()
-    after = Engine(spark, path, EngineConfig(dim=DIM)).entities().agg(F.count("*").alias("compacted"), F.max("id").alias("last_id"))
+    after = Engine(spark, path, EngineConfig(dim=DIM)).entities([]).agg(F.count("*").alias("compacted"), F.max("id").alias("last_id"))
     return before.crossJoin(after)  # one row each
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftspark.functions import text
@@ -72,3 +73,17 @@ def test_sentences_take_one_pass(spark):
     assert time.time() - began < 60
     assert len(got[1]) == n + 1 and got[1][n - 1] == (5 * n - 5, 5 * n, "é。") and got[1][n] == (5 * n, 5 * n + 4, "tail")
     assert got[2] is None and [tuple(s) for s in got[3]] == [(0, 1, "\n")]
+
+
+def test_tokens_of_a_batch_are_bounded():
+    """3,000 Chinese texts of one batch; as Python objects at once, the tokens of 10,000 took 2,109 MB."""
+    import tracemalloc
+
+    texts = [None, ""] + ["中文分词检索系统" * 60] * 3000
+    tracemalloc.start()
+    got = list(text.token_arrays(iter([pa.array(texts)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, got)) == len(texts) and peak < 150_000_000
+    assert got[0][0].as_py() is None and got[0][1].as_py() == []
+    assert [(t["term"], t["start"], t["end"]) for t in got[0][2].as_py()] == text.tokenize_text(texts[2])
